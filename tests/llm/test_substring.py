@@ -44,7 +44,7 @@ def test_edge_cases(spark):
 
 def test_sources(spark):
     df = keyed(spark.createDataFrame([(3, "a b c d e f"), (8, "q a b c d e"), (9, "q a b c d e")], "doc_id long, text string"), "doc_id", "text")
-    assert {(r.doc_id, r.src_doc_id) for r in repeated_spans(df, 5, 2).collect()} == {(8, 3), (9, 3), (9, 8)}
+    assert {(r.doc_id, r.src_doc_id) for r in repeated_spans(df, 5, 2).collect()} == {(8, 3), (9, 8)}  # 8 has all that 9 has
 
 
 def test_query(spark, sf):

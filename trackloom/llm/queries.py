@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.llm.suffixes import op5_suffix_array_dedup
 from trackloom.llm.substring import op3_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

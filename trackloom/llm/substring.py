@@ -83,7 +83,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> D
     """Spans of words of docs(doc_id, h, text) under windows that also start in a document with a smaller doc_id.
 
     Returns (doc_id, h, start, length, src_doc_id): words start .. start + length of that row stand in document
-    src_doc_id, the smallest that has them. Spans may overlap and touch.
+    src_doc_id < doc_id: the smallest that has the whole span. Spans may overlap and touch.
     """
     anchor = min(anchor, window)
     runs = stored(super_kmers(docs, window, anchor))
