@@ -78,7 +78,7 @@ class SuffixFamily:
         out = self.matches[0]
         for more in self.matches[1:]:
             out = out.union(more)
-        return out.distinct()
+        return stored(out.distinct())
 
 
 def windows_of(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
@@ -114,14 +114,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = ANCHOR, bat
     docs = docs.drop("batch")
     runs = stored(suffixes.join(family.repeated(), "mh", "left_semi").drop("batch"))
     paths = stored(runs.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("k")))
-    forks = paths.groupBy("mh").agg(F.count(F.lit(1)).alias("j")).filter("j > 1").select("mh", F.lit(True).alias("fork"))
+    forks = stored(paths.groupBy("mh").agg(F.count(F.lit(1)).alias("j")).filter("j > 1").select("mh", F.lit(True).alias("fork")))
     known = stored(runs.join(paths, ["mh", "sh"]).join(forks, "mh", "left"))
     whole = known.filter("k > 1").select("doc_id", "h", "start", (F.col("n") + length - 1).alias("length"))
     # of the copies of a run that parts from others, one stands for all: their own windows are settled already
     keep = known.filter("fork and k > 1").groupBy("mh", "sh").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("x")).select("x.doc_id", "x.h", "mh", "x.start", "x.n")
     alone = known.filter("fork and k = 1").select("doc_id", "h", "mh", "start", "n")
     windows = stored(windows_of(docs, alone.unionByName(keep), length))
-    several = windows.groupBy("mh", "wh").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    several = stored(windows.groupBy("mh", "wh").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
     single = windows.join(several, ["mh", "wh"], "left_semi").select("doc_id", "h", "start", F.lit(length).alias("length"))
     return whole.unionByName(single)
 
