@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.llm.packing import op8_best_fit_packing
 from trackloom.llm.setsketch import op9_minhash_near_dedup
 from trackloom.llm.suffixes import op5_suffix_array_dedup
 from trackloom.llm.substring import op3_substring_dedup
@@ -13,6 +14,7 @@ from trackloom.llm.substring import op3_substring_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 

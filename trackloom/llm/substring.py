@@ -7,7 +7,8 @@ paths branch (a passage begins or ends, a copy was edited), the super-k-mers are
 second join settles those. Rows are checked by hashes of the words under them (64 bits beside the 64 bits of the
 minimizer); source coordinates (doc_id and word) name the passage that each span repeats.
 
-Nothing is gathered: every step is an aggregation with map-side combine or a join that Spark may split, so a
+The smaller side of each join is written first, so that both sides are plain exchanges which Spark may split where a
+minimizer or an edge is very frequent. Nothing is gathered: every step is an aggregation with map-side combine or a join that Spark may split, so a
 passage that stands in a third of all documents is one row for each task that has seen it.
 """
 
@@ -87,14 +88,14 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = ANCHOR) -> D
     """
     anchor = min(anchor, window)
     runs = stored(super_kmers(docs, window, anchor))
-    shared = runs.groupBy("mh").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mh")
+    shared = stored(runs.groupBy("mh").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mh"))
     runs = stored(runs.join(shared, "mh", "left_semi"))
     paths = stored(runs.groupBy("mh", "sh").agg(F.min("doc_id").alias("src_doc_id")))
-    forks = paths.groupBy("mh").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("mh", F.lit(True).alias("fork"))
+    forks = stored(paths.groupBy("mh").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("mh", F.lit(True).alias("fork")))
     known = stored(runs.join(paths, ["mh", "sh"]).join(forks, "mh", "left"))
     whole = known.filter("src_doc_id < doc_id").select("doc_id", "h", "start", (F.col("n") + window - 1).alias("length"), "src_doc_id")
     edges = stored(spelled_out(docs, known.filter("src_doc_id = doc_id and fork").select("doc_id", "h", "mh", "start", "n"), window))
-    first = edges.groupBy("mh", "wh").agg(F.min("doc_id").alias("src_doc_id"), F.max("doc_id").alias("b")).filter("src_doc_id < b").drop("b")
+    first = stored(edges.groupBy("mh", "wh").agg(F.min("doc_id").alias("src_doc_id"), F.max("doc_id").alias("b")).filter("src_doc_id < b").drop("b"))
     single = edges.join(first, ["mh", "wh"]).filter("src_doc_id < doc_id")
     return whole.unionByName(single.select("doc_id", "h", "start", F.lit(window).alias("length"), "src_doc_id"))
 
