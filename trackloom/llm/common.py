@@ -30,6 +30,7 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    spark._jvm.System.gc()  # the write's shuffle files go once the driver has collected its plan
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -58,20 +58,28 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of the rows in data, and the offsets of the rows among them."""
-    if lower:
-        data = data | ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    base, offsets = offsets[0], offsets - offsets[0]
-    data = data[base : base + offsets[-1]]
-    n = len(data)
-    word = np.zeros(n + 2, bool)
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return data | (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of rows that fill data; no word goes over a row's end."""
+    word = np.zeros(len(data) + 2, bool)
     np.logical_not(_SPACE[data], out=word[1:-1])
-    first = np.zeros(n + 1, bool)
+    first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
-    inside = word[1:]  # of each byte, one more at the end
-    starts = np.flatnonzero(inside & (~word[:-1] | first))
-    ends = np.flatnonzero(inside[:-1] & (~word[2:] | first[1:])) + 1
+    starts = np.flatnonzero(word[1:] & (~word[:-1] | first))
+    ends = np.flatnonzero(word[1:-1] & (~word[2:] | first[1:])) + 1
+    return starts, ends
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the rows of data between offsets, and the offsets of the rows among them."""
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    if lower:
+        data = lowered(data)
+    starts, ends = word_spans(data, offsets)
     return Prefixes(BYTE_VALUES[data]).hashes(starts, ends), np.searchsorted(starts, offsets)
 
 

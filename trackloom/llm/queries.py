@@ -10,8 +10,10 @@ from trackloom.llm.packing import op8_best_fit_packing
 from trackloom.llm.setsketch import op9_minhash_near_dedup
 from trackloom.llm.suffixes import op5_suffix_array_dedup
 from trackloom.llm.substring import op3_substring_dedup
+from trackloom.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,

@@ -10,7 +10,9 @@ exists, which finds its long matches with all earlier batches; then it joins the
 have equal size they merge into one of twice the size. An entry is thus rewritten once for each doubling.
 
 The matches say which suffixes repeat. From their source coordinates the runs of repeated windows are settled whole
-where all copies agree, and window by window where copies part.
+where copies agree. Where they part, a run is cut into blocks of a few windows at fixed distances from the minimizer:
+a block whose bytes repeat as a whole is settled, one whose common bytes stand nowhere else has no repeated window, and
+only in the others, at the very ends of matches, is each window looked at.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ from trackloom.llm.hashing import BYTE_VALUES, Prefixes, super_runs
 
 #: Bytes whose fingerprint orders the suffixes; of a window, the minimizer is the run of so many bytes with the least hash.
 ANCHOR = 64
+#: Windows of a block.
+BLOCK = 16
 #: Batches that a table is fed to the index in.
 BATCHES = 4
 
-_RUNS = "doc_id long, h int, batch int, mh long, sh long, start int, n int"
-_RUNS_ARROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int32()), ("batch", pa.int32()), ("mh", pa.int64()), ("sh", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_RUNS = "doc_id long, h int, batch int, mh long, sh long, start int, n int, at int"
+_RUNS_ARROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int32()), ("batch", pa.int32()), ("mh", pa.int64()), ("sh", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32())])
+_BLOCKS_ARROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int32()), ("mh", pa.int64()), ("block", pa.int32()), ("low", pa.int32()), ("core", pa.int64()), ("full", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 _WINDOWS_ARROW = pa.schema([("doc_id", pa.int64()), ("h", pa.int32()), ("mh", pa.int64()), ("wh", pa.int64()), ("start", pa.int32())])
 
 
@@ -81,26 +86,67 @@ class SuffixFamily:
         return stored(out.distinct())
 
 
+def with_text(docs: DataFrame, runs: DataFrame, *columns: str) -> DataFrame:
+    """docs(doc_id, h, text) that have runs, with those as lists."""
+    lists = runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*columns)).alias("runs"))
+    return docs.join(lists, same_row(docs, lists)).select(docs["doc_id"], docs["h"], "text", "runs")
+
+
+def each_text(batch: pa.RecordBatch, most: int = 500) -> Iterator[tuple[Prefixes, list[np.ndarray], dict[str, pa.Scalar]]]:
+    """Of each row of with_text(): the hashes of its text, at most so many of its runs as arrays, and its key."""
+    data, offsets = utf8(batch.column("text"))
+    lists = batch.column("runs")
+    for i in range(len(lists)):
+        columns = [x.to_numpy().astype(np.int64) for x in lists[i].values.flatten()]
+        prefixes = Prefixes(BYTE_VALUES[data[offsets[i] : offsets[i + 1]]])
+        for a in range(0, len(columns[0]), most):
+            yield prefixes, [x[a : a + most] for x in columns], {c: batch.column(c)[i] for c in ("doc_id", "h")}
+
+
+def repeated(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0 n[0] times, 1 n[1] times and so on, and counts from 0 on within each."""
+    each = np.repeat(np.arange(len(n)), n)
+    return each, np.arange(len(each)) - (np.cumsum(n) - n)[each]
+
+
+def blocks_of(docs: DataFrame, runs: DataFrame, length: int, size: int) -> DataFrame:
+    """The blocks of runs(doc_id, h, mh, start, n, at). A window's distance is that from its start to the minimizer;
+    block j has distances j * size up to the next block's, as far as the run has them: n windows from `start` on, the least
+    distance `low`. core: hash of the bytes that all windows of a whole block have in common; full: of all its bytes."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for prefixes, (mh, start, n, at), key in each_text(batch):
+                least = at - n + 1
+                first = least // size
+                each, j = repeated(at // size - first + 1)
+                j += first[each]
+                low, high, place = np.maximum(j * size, least[each]), np.minimum(j * size + size - 1, at[each]), (start + at)[each]
+                core = prefixes.hashes(place - j * size, place - j * size - size + 1 + length)
+                full = prefixes.hashes(place - high, place - low + length)
+                key = {c: pa.repeat(x, len(j)) for c, x in key.items()}
+                yield from arrow_batches({**key, "mh": mh[each], "block": j, "low": low, "core": core.view(np.int64), "full": full.view(np.int64), "start": place - high, "n": high - low + 1}, _BLOCKS_ARROW)
+
+    return with_text(docs, runs, "mh", "start", "n", "at").mapInArrow(blocks, "doc_id long, h int, mh long, block int, low int, core long, full long, start int, n int")
+
+
 def windows_of(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """Each window of runs(doc_id, h, mh, start, n), with the fingerprint of its bytes."""
-    lists = runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("mh", "start", "n")).alias("runs"))
+    """Each window of runs(doc_id, h, mh, start, n), with the hash of its bytes."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            lists = batch.column("runs")
-            for i in range(len(lists)):
-                mh, start, n = (x.to_numpy() for x in lists[i].values.flatten())
-                prefixes = Prefixes(BYTE_VALUES[data[offsets[i] : offsets[i + 1]]])
-                for a in range(0, len(n), 2000):
-                    each = np.repeat(np.arange(a, min(a + 2000, len(n))), n[a : a + 2000])
-                    before = np.cumsum(n[a : a + 2000]) - n[a : a + 2000]
-                    at = start[each].astype(np.int64) + np.arange(len(each)) - before[each - a]
-                    doc, h = (pa.repeat(batch.column(c)[i], len(at)) for c in ("doc_id", "h"))
-                    yield from arrow_batches({"doc_id": doc, "h": h, "mh": mh[each], "wh": prefixes.hashes(at, at + length).view(np.int64), "start": at}, _WINDOWS_ARROW)
+            for prefixes, (mh, start, n), key in each_text(batch):
+                each, place = repeated(n)
+                place += start[each]
+                key = {c: pa.repeat(x, len(place)) for c, x in key.items()}
+                yield from arrow_batches({**key, "mh": mh[each], "wh": prefixes.hashes(place, place + length).view(np.int64), "start": place}, _WINDOWS_ARROW)
+
+    return with_text(docs, runs, "mh", "start", "n").mapInArrow(windows, "doc_id long, h int, mh long, wh long, start int")
+
 
-    joined = docs.join(lists, same_row(docs, lists)).select(docs["doc_id"], docs["h"], "text", "runs")
-    return joined.mapInArrow(windows, "doc_id long, h int, mh long, wh long, start int")
+def several(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys that more than one row has."""
+    return stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(*key))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
@@ -118,12 +164,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = ANCHOR, bat
     known = stored(runs.join(paths, ["mh", "sh"]).join(forks, "mh", "left"))
     whole = known.filter("k > 1").select("doc_id", "h", "start", (F.col("n") + length - 1).alias("length"))
     # of the copies of a run that parts from others, one stands for all: their own windows are settled already
-    keep = known.filter("fork and k > 1").groupBy("mh", "sh").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("x")).select("x.doc_id", "x.h", "mh", "x.start", "x.n")
-    alone = known.filter("fork and k = 1").select("doc_id", "h", "mh", "start", "n")
-    windows = stored(windows_of(docs, alone.unionByName(keep), length))
-    several = stored(windows.groupBy("mh", "wh").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
-    single = windows.join(several, ["mh", "wh"], "left_semi").select("doc_id", "h", "start", F.lit(length).alias("length"))
-    return whole.unionByName(single)
+    keep = known.filter("fork and k > 1").groupBy("mh", "sh").agg(F.min(F.struct("doc_id", "h", "start", "n", "at")).alias("x")).select("x.doc_id", "x.h", "mh", "x.start", "x.n", "x.at")
+    alone = known.filter("fork and k = 1").select("doc_id", "h", "mh", "start", "n", "at")
+    size = max(1, min(BLOCK, length // 4))
+    blocks = stored(blocks_of(docs, alone.unionByName(keep), length, size))
+    blocks = stored(blocks.join(several(blocks, "mh", "block", "core"), ["mh", "block", "core"], "left_semi"))
+    settled = several(blocks, "mh", "block", "low", "n", "full").withColumn("settled", F.lit(True))
+    blocks = stored(blocks.join(settled, ["mh", "block", "low", "n", "full"], "left"))
+    agreed = blocks.filter("settled").select("doc_id", "h", "start", (F.col("n") + length - 1).alias("length"))
+    # as above, one of those that agree stands for all
+    ends = blocks.filter("settled is null").select("doc_id", "h", "mh", "start", "n")
+    ends = ends.unionByName(blocks.filter("settled").groupBy("mh", "block", "low", "n", "full").agg(F.min(F.struct("doc_id", "h", "start")).alias("x")).join(blocks.filter("settled is null").select("mh", "block").distinct(), ["mh", "block"], "left_semi").select("x.doc_id", "x.h", "mh", "x.start", "n"))
+    windows = stored(windows_of(docs, ends, length))
+    single = windows.join(several(windows, "mh", "wh"), ["mh", "wh"], "left_semi").select("doc_id", "h", "start", F.lit(length).alias("length"))
+    return stored(whole.unionByName(agreed).unionByName(single))
 
 
 def without_repeats(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
