@@ -11,13 +11,16 @@ from trackloom.llm.setsketch import op9_minhash_near_dedup
 from trackloom.llm.suffixes import op5_suffix_array_dedup
 from trackloom.llm.substring import op3_substring_dedup
 from trackloom.llm.toxicity import op1_toxicity
+from trackloom.llm.urls import SQL as URLS_SQL
+from trackloom.llm.urls import op2_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filters": op2_url_filters,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": URLS_SQL}
