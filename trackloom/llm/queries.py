@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.llm.fingerprints import op10_document_fingerprints
 from trackloom.llm.packing import op8_best_fit_packing
 from trackloom.llm.setsketch import op9_minhash_near_dedup
 from trackloom.llm.suffixes import op5_suffix_array_dedup
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_url_filters": URLS_SQL}
