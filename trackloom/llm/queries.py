@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.llm.decontaminate import SQL as DECONTAMINATE_SQL
+from trackloom.llm.decontaminate import op7_benchmark_decontamination
 from trackloom.llm.fingerprints import op10_document_fingerprints
 from trackloom.llm.packing import op8_best_fit_packing
 from trackloom.llm.setsketch import op9_minhash_near_dedup
@@ -20,9 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": URLS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": URLS_SQL, "op7_benchmark_decontamination": DECONTAMINATE_SQL}
