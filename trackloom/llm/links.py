@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import dropped, stored
@@ -35,33 +35,47 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def always(a: Column, b: Column) -> Column:
+    return F.lit(True)
+
+
+def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2, pairs_left: Callable[[DataFrame], DataFrame] | None = None, may: Callable[[Column, Column], Column] = always) -> DataFrame:
     """Links (a, b), confirmed, that join whatever the pairs inside the buckets of members(key, id) join.
 
+    members may have a column `sketch`: may(sketch of a, sketch of b) then tells whether a pair is a candidate at all.
+
     In each round every bucket has one centre, which is compared with all its members that are not in the centre's
     component yet; the centre has then met everyone and leaves the bucket. A bucket is done as soon as its members
     are in one component. So copies of one text cost one comparison each and never all pairs. What is left after
-    `rounds` compares, exactly, the pairs of different components that no round has compared.
+    `rounds` are members of different components that no round has compared: pairs_left gets them as (key, id,
+    component) and returns the pairs to compare, without those of which it can prove that they aren't linked.
     """
     links = None
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    left = stored(members.join(buckets, "key", "left_semi").withColumn("component", F.col("id")))
+    members = members if "sketch" in members.columns else members.withColumn("sketch", F.lit(None).cast("long"))
+    left = stored(members.join(stored(buckets), "key", "left_semi").withColumn("component", F.col("id")))
     for turn in range(rounds):
         # a bucket's centre: in turn its smallest and its largest member, so that centres lie apart
         pick = F.min if turn % 2 == 0 else F.max
-        centres = left.groupBy("key").agg(pick(F.struct("id", "component")).alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.component").alias("of"))
-        pairs = left.join(centres, "key").filter("component <> of").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        centres = left.groupBy("key").agg(pick(F.struct("id", "component", "sketch")).alias("c"))
+        centres = stored(centres.select("key", F.col("c.id").alias("centre"), F.col("c.component").alias("of"), F.col("c.sketch").alias("sketch_b")))
+        near = (F.col("component") != F.col("of")) & may(F.col("sketch"), F.col("sketch_b"))
+        pairs = left.join(centres, "key").filter(near).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         found = stored(confirm(pairs))
         links = found if links is None else links.union(found)
         labels = stored(components(links))
-        rest = left.join(centres, "key").filter("id <> centre").select("key", "id")
-        rest = rest.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        rest = left.join(centres, "key").filter("id <> centre").select("key", "id", "sketch")
+        rest = rest.join(labels, "id", "left").select("key", "id", "sketch", F.coalesce("component", "id").alias("component"))
         open_ = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
         rest = stored(rest.join(open_, "key", "left_semi"))
         dropped(left)
         left = rest
         if left.isEmpty():
             return links
-    other = left.select("key", F.col("id").alias("other"), F.col("component").alias("of"))
-    pairs = left.join(other, "key").filter("component < of").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    if pairs_left is not None:
+        pairs = pairs_left(left)
+    else:
+        other = left.select(*(F.col(c).alias(f"{c}_b") for c in left.columns))
+        near = (F.col("component") < F.col("component_b")) & may(F.col("sketch"), F.col("sketch_b"))
+        pairs = left.join(other, (F.col("key") == F.col("key_b")) & near).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
     return links.union(stored(confirm(pairs)))
