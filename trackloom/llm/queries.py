@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trackloom.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from trackloom.llm.decontaminate import op7_benchmark_decontamination
 from trackloom.llm.fingerprints import op10_document_fingerprints
+from trackloom.llm.licenses import op4_license_scans
 from trackloom.llm.lines import op6_line_dedup
 from trackloom.llm.packing import op8_best_fit_packing
 from trackloom.llm.setsketch import op9_minhash_near_dedup
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scans": op4_license_scans,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
