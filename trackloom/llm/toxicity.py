@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackloom.llm.common import chunks, stored, utf8
 from trackloom.llm.hashing import BYTE_VALUES, Prefixes, lowered, word_spans
@@ -216,7 +217,7 @@ def scored(documents: DataFrame, model: Model, text_col: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=[*columns, "score"])
 
     out = documents.select(*columns)
-    return out.mapInArrow(score, out.schema.add("score", "double"))
+    return out.mapInArrow(score, T.StructType([*out.schema, T.StructField("score", T.DoubleType())]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
