@@ -29,7 +29,7 @@ GRAMS, TABLE, SIZE = (3, 4, 5, 6), 1 << 18, 12
 #: Words of a neighbourhood.
 NEAR = 5
 #: Bounds of the training sample: rows of either label, and bytes of text in all.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 2000, 3000, 32_000_000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1500, 2000, 12_000_000
 #: Rounds of training, and steps in each.
 EPOCHS, BATCHES = 12, 50
 
@@ -56,28 +56,34 @@ class Bags:
         prefixes = Prefixes(BYTE_VALUES[data])
         self.grams = [entries(prefixes.raw(np.arange(len(data) - n + 1), np.arange(n, len(data) + 1))) if len(data) >= n else np.zeros(0, np.int32) for n in GRAMS]
         self.whole = entries(prefixes.raw(starts - 1, ends + 1))
-        self.spans = [(starts - 1, np.maximum(ends + 2 - n, starts - 1)) for n in GRAMS]
-        self.size = 1.0 + sum(b - a for a, b in self.spans)
+        self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
+        self.size = 1.0 + sum(b - a for _, a, b in self.spans())
+
+    def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length the entries of all n-grams, and of each word the first and the end of its own."""
+        for n, grams in zip(GRAMS, self.grams):
+            first = np.minimum(self.starts - 1, len(grams))
+            yield grams, first, np.minimum(np.maximum(self.ends + 2 - n, first), len(grams))
 
     def words(self, numbers: np.ndarray) -> np.ndarray:
         """The mean of the numbers of each word's n-grams."""
         total = numbers[self.whole].astype(float)
-        for grams, (a, b) in zip(self.grams, self.spans):
+        for grams, a, b in self.spans():
             sums = np.zeros(len(grams) + 1)
             np.cumsum(numbers[grams], out=sums[1:])
-            total += sums[np.minimum(b, len(grams))] - sums[np.minimum(a, len(grams))]
+            total += sums[b] - sums[a]
         return total / self.size
 
     def back(self, gradient: np.ndarray) -> np.ndarray:
         """The table's gradient from that of the words' means."""
         gradient = gradient / self.size
         out = np.bincount(self.whole, gradient, TABLE)
-        for grams, (a, b) in zip(self.grams, self.spans):
+        for grams, a, b in self.spans():
             if not len(grams):
                 continue
             each = np.zeros(len(grams) + 1)
-            np.add.at(each, np.minimum(a, len(grams)), gradient)
-            np.add.at(each, np.minimum(b, len(grams)), -gradient)
+            np.add.at(each, a, gradient)
+            np.add.at(each, b, -gradient)
             each = np.cumsum(each[:-1])
             used = np.flatnonzero(np.abs(each) > 1e-12)
             out += np.bincount(grams[used], each[used], TABLE)
@@ -123,7 +129,7 @@ def first_guess(batches: list[Bags], ranges: list[tuple[int, int]], toxic: np.nd
         for i, label in enumerate(toxic[a:b].astype(int)):
             words = slice(bags.places[i], bags.places[i + 1])
             if words.stop > words.start:
-                low, high = bags.spans[0][0][words.start], bags.spans[0][1][words.stop - 1]
+                low, high = bags.starts[words.start] - 1, bags.ends[words.stop - 1] + 1
                 seen[label][np.unique(np.concatenate([bags.whole[words], *(g[low:high] for g in bags.grams)]))] += 1
     rows = np.array([[(toxic == 0).sum()], [(toxic == 1).sum()]])
     share = (seen + 1) / (rows + 2)
