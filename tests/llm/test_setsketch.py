@@ -57,6 +57,8 @@ def test_chains_copies_and_large_groups(spark):
     base = [f"v{i}" for i in range(200)]
     rows += [(2000 + i, " ".join(edited(base, rng, i % 5))) for i in range(150)]
     rows += [(i, " ".join(f"u{rng.random()}" for _ in range(rng.randrange(12)))) for i in range(200, 260)]
+    spread = [f"s{i}" for i in range(100)]
+    rows += [(4000 + i, " ".join(edited(spread, rng, i % 12))) for i in range(80)]  # many are near each other's threshold
     rows += [(300, None), (301, ""), (302, "A b"), (303, "a B"), (304, "a"), (305, " \t")]
     assert run(spark, rows) == sorted(brute(rows), key=repr)
 

@@ -20,8 +20,8 @@ from trackloom.llm.common import chunks, stored, utf8
 from trackloom.llm.hashing import Prefixes, mixed, words_of
 from trackloom.llm.links import bucket_links, components
 
-#: Registers in a band, and bands. A pair with similarity 0.85 misses all bands in 1 of 50 million cases.
-ROWS, BANDS = 4, 24
+#: Registers in a band, and bands. A pair with similarity 0.85 misses all bands in 1 of 40 million cases.
+ROWS, BANDS = 5, 30
 #: Base of the registers' scale, rate of the exponential values, and the largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Pairs whose estimate is below the threshold by more than this go without confirmation: seven standard errors at least.
@@ -149,7 +149,27 @@ def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, id_col:
         both = both.withColumn("i", F.size(F.array_intersect("x", "y")).cast("long"))
         return both.filter(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * percent).select("a", "b")
 
-    links = bucket_links(buckets, confirm)
+    def pairs_left(left: DataFrame) -> DataFrame:
+        """Pairs of different components that may be linked, by prefix and position: with all shingles in one order, rare
+        ones first, the first shingle that linked texts share lies so early in both that enough may follow it. So a copy
+        with many edits of its own is settled without meeting the thousands that it resembles; no link is lost."""
+        of = left.select("id", "component").distinct().join(reps.select("id", "h", "n"), "id")
+        sets = stored(full_sets(docs.join(of, ["id", "h"], "left_semi"), k)).dropDuplicates(["id"])
+        shingles = sets.select("id", F.explode("shingles").alias("t"))
+        ordered = shingles.join(stored(shingles.groupBy("t").agg(F.count(F.lit(1)).alias("df"))), "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s"))
+        early = F.slice("s", 1, (F.floor(F.size("s") * (100 - percent) / 100) + 1).cast("int"))
+        first = ordered.select("id", F.posexplode(early).alias("i", "x")).select("id", "i", F.col("x.t").alias("t"))
+        first = stored(first.join(of.select("id", "component", "n"), "id"))
+        sizes = first.groupBy("t", "component").agg(F.count(F.lit(1)).alias("k"))
+        main = stored(sizes.groupBy("t").agg(F.max_by("component", "k").alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("t", "main"))
+        # of each shingle's components the largest only answers: its texts need not meet each other
+        ask = stored(first.join(main, "t").filter("component <> main").drop("main"))
+        answer = stored(first.join(main, "t", "left_semi").select("t", *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "i"))))
+        most = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("n_b") - F.col("i_b") - 1)
+        may = (F.col("component") != F.col("component_b")) & (most * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent)
+        return ask.join(answer, (ask["t"] == answer["t"]) & may).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+
+    links = bucket_links(buckets, confirm, pairs_left=pairs_left)
     same = member.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     labels = components(links.union(same))
     return rows.join(labels, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
