@@ -64,6 +64,7 @@ def check(rows, docs, capacity, places=True):
 
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "word " * 100), (None, "a b\x1cc İΣ ΑΣ é x's don't 12"), (4, "<|endoftext|> hi"), (4, "<|endoftext|> hi"), (5, "x y　z\u0085q ß ﬁ " + "é" * 50)]
+    docs += [(6, "H\u0331 A\u030a I\u0307 a, b. c., D. \x01 x\x01y, ., it's. \x01"), (7, "\u3000 a"), (8, "Σ, ΑΣ. ΣΑ q.. w,x, É, 1, 2.")]
     df = spark.createDataFrame([(a, b, 3, 4) for a, b in docs], "doc_id long, text string, length int, rank int")
     check(pack_documents(df, PATH, 16).collect(), docs, 16)
     assert pack_documents(df.limit(0), PATH, 16).collect() == []

@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import stored
 
 #: Distinct words that a Python worker keeps with their ids; then it starts anew.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 1_000_000
 #: Parts in which the ranks of a length are counted, so that a frequent length is no single task's work.
 RANK_PARTS = 256
 
 
 class WordIds(dict):
-    """Words, which are UTF-8 without ASCII white space, to their ids as bytes. Right for tokenizers that drop white
-    space and never join what it parts, as the ids of a text are then those of its words in a row."""
+    """Words, which are UTF-8 without ASCII white space, to their ids as bytes. Right for tokenizers that lower case, drop
+    white space, never join what it parts, and part letters from marks: the ids of a text are then those of its words in a row."""
+
+    #: Stands between words that are encoded in one go; its ids tell where each word ends. Words that hold it go alone.
+    BETWEEN = b"\x01"
 
     def __init__(self, path: str):
         super().__init__()
@@ -35,23 +38,40 @@ class WordIds(dict):
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        (self.between,) = self.encoded([self.BETWEEN])[0]
+        self.marks = {m: np.array(self.encoded([bytes([m])])[0], "<u4").tobytes() for m in b",."}
+
+    def encoded(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > KNOWN_WORDS:
+    def learn(self, words: list[bytes]) -> None:
+        if len(self) > KNOWN_WORDS:
             self.clear()
-        words = list(words)
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self[word] = np.array(found.ids, "<u4").tobytes()
+        # a comma or full stop after a letter is a token of its own
+        stems = {w: w[:-1] if len(w) > 1 and w[-1] in self.marks and 97 <= w[-2] <= 122 else w for w in words}
+        new = [w for w in dict.fromkeys(stems.values()) if w not in self]
+        groups = [new[at : at + 200] for at in range(0, len(new), 200)]
+        groups = [[w for w in g if self.BETWEEN not in w] for g in groups] + [[w] for w in new if self.BETWEEN in w]
+        for group, ids in zip(groups, self.encoded([(b" " + self.BETWEEN + b" ").join(g) for g in groups])):
+            ids = np.array(ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.between) if len(group) > 1 else ()), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(group, ends):
+                self[word], start = raw[4 * start : 4 * end], end + 1
+        for word, stem in stems.items():
+            if word is not stem:
+                self[word] = self[stem] + self.marks[word[-1]]
 
     def ids(self, text: str) -> bytes:
-        words = text.encode().split()
-        if new := set(words).difference(self):
-            self.learn(new)
-            if new := set(words).difference(self):  # learning cleared older ones
-                self.learn(new)
-        return b"".join([self[w] for w in words])
+        data = text.encode()
+        if b"\xcc" not in data and b"\xcd" not in data:  # no combining marks, so A-Z may be lowered before they would compose
+            data = data.lower()
+        words = data.split()
+        parts = list(map(self.get, words))
+        while None in parts:  # twice if learning cleared older words
+            self.learn(list({w for w, p in zip(words, parts) if p is None}))
+            parts = list(map(self.get, words))
+        return b"".join(parts)
 
 
 _known: WordIds | None = None
