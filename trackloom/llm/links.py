@@ -50,7 +50,7 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     `rounds` are members of different components that no round has compared: pairs_left gets them as (key, id,
     component) and returns the pairs to compare, without those of which it can prove that they aren't linked.
     """
-    links = None
+    links = labels = None
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = members if "sketch" in members.columns else members.withColumn("sketch", F.lit(None).cast("long"))
     left = stored(members.join(stored(buckets), "key", "left_semi").withColumn("component", F.col("id")))
@@ -61,9 +61,11 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
         centres = stored(centres.select("key", F.col("c.id").alias("centre"), F.col("c.component").alias("of"), F.col("c.sketch").alias("sketch_b")))
         near = (F.col("component") != F.col("of")) & may(F.col("sketch"), F.col("sketch_b"))
         pairs = left.join(centres, "key").filter(near).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        found = stored(confirm(pairs))
-        links = found if links is None else links.union(found)
-        labels = stored(components(links))
+        pairs = stored(pairs)
+        if links is None or not pairs.isEmpty():
+            found = stored(confirm(pairs))
+            links = found if links is None else links.union(found)
+            labels = stored(components(links))
         rest = left.join(centres, "key").filter("id <> centre").select("key", "id", "sketch")
         rest = rest.join(labels, "id", "left").select("key", "id", "sketch", F.coalesce("component", "id").alias("component"))
         open_ = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
@@ -78,4 +80,5 @@ def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
         other = left.select(*(F.col(c).alias(f"{c}_b") for c in left.columns))
         near = (F.col("component") < F.col("component_b")) & may(F.col("sketch"), F.col("sketch_b"))
         pairs = left.join(other, (F.col("key") == F.col("key_b")) & near).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
-    return links.union(stored(confirm(pairs)))
+    pairs = stored(pairs)
+    return links if pairs.isEmpty() else links.union(stored(confirm(pairs)))
