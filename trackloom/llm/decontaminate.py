@@ -7,6 +7,9 @@ Windows get MinHash registers: the hashes of a few blocks of shingles are reduce
 registers are the least of its blocks'. A window and an item that agree in a register are candidates; they are
 verified by the exact share of the item's shingles in the document around the window.
 
+Items of up to BLOCK shingles are too small a part of any window: they have their shingles as keys instead. A document with
+CONTAINED of them has at least one of any n - CONTAINED n + 1, so those of the item that many are joined with all of the document's.
+
 Registers are the least of hash XOR mask, for a mask by register. All of it is built-in functions.
 """
 
@@ -28,6 +31,9 @@ BLOCK = 16
 #: Size bounds of items for which they are broadcast: rows and bytes.
 FEW_ROWS, FEW_BYTES = 100_000, 8_000_000
 
+#: The partition of items of up to BLOCK shingles.
+SMALL = 0
+
 _MASKS = np.random.default_rng(90125).integers(-(2**63), 2**63 - 1, REGISTERS).tolist()
 
 
@@ -63,7 +69,7 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, hashes, size, item): the distinct shingles of each item, its partition's bound and a key of both. Items
     without words are none."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.array_distinct(shingles(F.col(text_col))).alias("hashes")).filter(F.size("hashes") > 0)
-    bound = F.greatest(F.lit(BLOCK), F.pow(F.lit(2), F.ceil(F.log2(F.size("hashes"))))).cast("int")
+    bound = F.when(F.size("hashes") > BLOCK, F.pow(F.lit(2), F.ceil(F.log2(F.size("hashes"))))).otherwise(SMALL).cast("int")
     return stored(items.select("item_id", "hashes", bound.alias("size"), F.struct("item_id", F.xxhash64("hashes").alias("h")).alias("item")).dropDuplicates(["item"]))
 
 
@@ -91,18 +97,23 @@ def contained(documents: DataFrame, benchmark: DataFrame, share: float = CONTAIN
     sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # powers of 2: a few dozen at most
     if not sizes:
         return items.join(documents.select(F.col(id_col).alias("doc_id")).limit(0)).select("doc_id", "item_id", F.lit(0).alias("n_shingles"), F.lit(0).alias("n_found"))
+    register_of = F.when(F.col("size") == SMALL, 0).otherwise(F.col("register"))  # a shingle has no place
     few = small(items.select("item_id", F.array_join("hashes", ",")), FEW_ROWS, FEW_BYTES)
-    keys = items.select(F.xxhash64("item").alias("item"), "size", F.posexplode(registers(F.col("hashes"))).alias("register", "value"))
+    some = F.slice("hashes", F.lit(1), F.floor(F.size("hashes") * (1 - share) + 1e-9).cast("int") + 1)
+    values = F.when(F.col("size") == SMALL, some).otherwise(registers(F.col("hashes")))
+    keys = items.select(F.xxhash64("item").alias("item"), "size", F.posexplode(values).alias("register", "value")).withColumn("register", register_of)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
 
     def of_blocks(hashes: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / BLOCK).cast("int")), lambda i: registers(F.slice(hashes, i * BLOCK + 1, BLOCK)))
 
     def of_windows(hashes: Column) -> Column:
-        every = let(of_blocks(hashes), lambda blocks: F.concat(*(windows(blocks, size) for size in sizes)))
-        return F.when(F.size(hashes) > 0, every)
+        parts = [F.array(F.struct(F.lit(SMALL).alias("size"), F.array_distinct(hashes).alias("registers")))] if SMALL in sizes else []
+        if sizes != [SMALL]:
+            parts.append(let(of_blocks(hashes), lambda blocks: F.concat(*(windows(blocks, size) for size in sizes if size != SMALL))))
+        return F.when(F.size(hashes) > 0, F.concat(*parts))
 
-    found = docs.select("doc_id", "h", F.explode(let(shingles(F.col("text")), of_windows)).alias("w")).select("doc_id", "h", "w.size", F.posexplode("w.registers").alias("register", "value"))
+    found = docs.select("doc_id", "h", F.explode(let(shingles(F.col("text")), of_windows)).alias("w")).select("doc_id", "h", "w.size", F.posexplode("w.registers").alias("register", "value")).withColumn("register", register_of)
     pairs = found.join(F.broadcast(keys) if few else keys, ["size", "register", "value"]).select("doc_id", "h", "item").distinct()
     pairs = stored(pairs.join(items.select(F.xxhash64("item").alias("item"), "item_id", "hashes"), "item")).withColumnsRenamed({"doc_id": "pair_id", "h": "pair_h"})
     both = docs.join(pairs, docs["doc_id"].eqNullSafe(pairs["pair_id"]) & (docs["h"] == pairs["pair_h"]))
