@@ -28,7 +28,7 @@ from trackloom.llm.hashing import BYTE_VALUES, Prefixes, lowered, word_spans
 GRAMS, TABLE, SIZE = (3, 4, 5, 6), 1 << 18, 12
 #: Words of a neighbourhood.
 NEAR = 5
-#: Bounds of the training sample: rows of either label, and bytes of text in all.
+#: Bounds of the training sample: rows of either label, and bytes of text in all, of which each label may have half.
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1500, 2000, 12_000_000
 #: Rounds of training, and steps in each.
 EPOCHS, BATCHES = 12, 50
@@ -187,17 +187,25 @@ def trained(texts: pa.Array, toxic: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, keep) -> DataFrame:
-    """(text, toxic) of at most TOXIC_ROWS and CLEAN_ROWS labelled rows and SAMPLE_BYTES, chosen by a hash of doc_id.
+    """(text, toxic) of at most TOXIC_ROWS and CLEAN_ROWS labelled rows with a text and half of SAMPLE_BYTES each, chosen by a hash of doc_id.
 
-    Labels of one doc_id that disagree count as toxic. Ids are chosen before texts are read, so that texts stay where they are.
+    Labels of one doc_id that disagree count as toxic; of rows that repeat a doc_id one is taken. Of each label the shortest
+    texts go in first, so that a long one costs only itself; a label none of whose texts fits is an error. Ids are chosen
+    before texts are read, so that texts stay where they are.
     """
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & keep(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     ids = ids.filter("toxic = 1").orderBy(order, "doc_id").limit(TOXIC_ROWS).union(ids.filter("toxic = 0").orderBy(order, "doc_id").limit(CLEAN_ROWS))
     rows = documents.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").filter("text is not null")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.octet_length("text"), F.xxhash64("text"))).alias("text"))
     rows = stored(rows.withColumn("order", F.xxhash64("doc_id", "text")).withColumn("bytes", F.octet_length("text")))
-    rows = rows.withColumn("total", F.sum("bytes").over(W.orderBy("order", "text")))  # the bounded sample alone
-    return rows.filter(F.col("total") <= SAMPLE_BYTES).select("text", "toxic")
+    shortest = W.partitionBy("toxic").orderBy("bytes", "order", "doc_id")  # the bounded sample alone
+    rows = rows.withColumn("total", F.sum("bytes").over(shortest))
+    fits = F.col("total") <= SAMPLE_BYTES // 2
+    all_labels, sampled = rows.select(F.count_distinct("toxic"), F.count_distinct(F.when(fits, F.col("toxic")))).first()
+    if sampled < all_labels:
+        raise ValueError(f"all chosen texts of a label are longer than {SAMPLE_BYTES // 2} bytes")
+    return rows.filter(fits).orderBy("order", "doc_id").select("text", "toxic")  # labels and lengths mixed, for training
 
 
 def held_in(doc_id):
