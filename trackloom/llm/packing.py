@@ -26,18 +26,19 @@ RANK_PARTS = 256
 
 
 class WordIds(dict):
-    """Words, which are UTF-8 without ASCII white space, to their ids as bytes. Right for tokenizers that lower case, drop
+    """Words, which are UTF-8 without ASCII white space, to their ids as bytes, special tokens in the text included. Right for tokenizers that lower case, drop
     white space, never join what it parts, and part letters from marks: the ids of a text are then those of its words in a row."""
 
     #: Stands between words that are encoded in one go; its ids tell where each word ends. Words that hold it go alone.
     BETWEEN = b"\x01"
+    #: Special tokens hold it, which are found as they are written, before lower case. Words with it go alone, too.
+    SPECIAL = b"<|"
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         (self.between,) = self.encoded([self.BETWEEN])[0]
         self.marks = {m: np.array(self.encoded([bytes([m])])[0], "<u4").tobytes() for m in b",."}
 
@@ -51,7 +52,8 @@ class WordIds(dict):
         stems = {w: w[:-1] if len(w) > 1 and w[-1] in self.marks and 97 <= w[-2] <= 122 else w for w in words}
         new = [w for w in dict.fromkeys(stems.values()) if w not in self]
         groups = [new[at : at + 200] for at in range(0, len(new), 200)]
-        groups = [[w for w in g if self.BETWEEN not in w] for g in groups] + [[w] for w in new if self.BETWEEN in w]
+        alone = {w for w in new if self.BETWEEN in w or self.SPECIAL in w}
+        groups = [[w for w in g if w not in alone] for g in groups] + [[w] for w in new if w in alone]
         for group, ids in zip(groups, self.encoded([(b" " + self.BETWEEN + b" ").join(g) for g in groups])):
             ids = np.array(ids, "<u4")
             ends = [*(np.flatnonzero(ids == self.between) if len(group) > 1 else ()), len(ids)]
@@ -65,8 +67,9 @@ class WordIds(dict):
     def ids(self, text: str) -> bytes:
         data = text.encode()
         if b"\xcc" not in data and b"\xcd" not in data:  # no combining marks, so A-Z may be lowered before they would compose
-            data = data.lower()
-        words = data.split()
+            words = data.lower().split() if self.SPECIAL not in data else [w if self.SPECIAL in w else w.lower() for w in data.split()]
+        else:
+            words = data.split()
         parts = list(map(self.get, words))
         while None in parts:  # twice if learning cleared older words
             self.learn(list({w for w, p in zip(words, parts) if p is None}))
