@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from trackloom.llm.links import bucket_links, components
+from trackloom.llm.links import SPREAD, bucket_links, components, shared, spread_join
 from trackloom.llm.setsketch import BANDS, ROWS, likely, near_duplicates, op9_minhash_near_dedup, registers
 
 
@@ -85,11 +86,24 @@ def test_every_pair_of_components_meets(spark):
         seen.extend(map(tuple, pairs.collect()))
         return pairs.filter("a % 3 = b % 3 and a + 3 = b")
 
-    links = bucket_links(spark.createDataFrame(members, "key long, id long"), confirm)
+    def pairs_left(left):
+        other = left.select(*(F.col(c).alias(f"{c}_b") for c in left.columns))
+        return left.join(other, F.expr("key = key_b and component < component_b")).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+
+    left = shared(spark.createDataFrame(members, "key long, id long").withColumn("n", F.lit(1)))
+    links = bucket_links(left, confirm, pairs_left)
     got = dict(map(tuple, components(links).collect()))
     assert got == {i: i % 3 for i in range(12)}
 
 
+def test_frequent_keys_are_spread(spark):
+    rows = spark.createDataFrame([(1 if i % 3 == 0 else i, i) for i in range(9 * SPREAD)], "key long, id long")
+    one = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
+    got = sorted(map(tuple, spread_join(rows, one).select("key", "id", "least").collect()))
+    assert got == sorted((1 if i % 3 == 0 else i, i, 0 if i % 3 == 0 else i) if i != 1 else (1, 1, 0) for i in range(9 * SPREAD))
+    assert spread_join(rows.limit(0), one.limit(0)).collect() == []
+
+
 def test_joint_estimate():
     rng = np.random.default_rng(1)
     for j in (0.0, 0.5, 0.85):

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import dropped, stored
 
+#: A key is spread over tasks if more than one in so many rows has it; so at most as many keys are.
+SPREAD = 1000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): of each id in edges(a, b), the smallest id that it reaches.
@@ -39,46 +42,72 @@ def always(a: Column, b: Column) -> Column:
     return F.lit(True)
 
 
-def bucket_links(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2, pairs_left: Callable[[DataFrame], DataFrame] | None = None, may: Callable[[Column, Column], Column] = always) -> DataFrame:
-    """Links (a, b), confirmed, that join whatever the pairs inside the buckets of members(key, id) join.
+def spread_join(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows(key, id, ...) joined with one(key, k, ...), which has a row for each key and says how many rows have it.
+
+    The rows of a frequent key are parted by their ids, and each part finds a copy of the key's one row.
+    """
+    total = one.agg(F.sum("k")).first()[0] or 0
+    share = max(1, total // SPREAD)
+    hot = one.filter(F.col("k") > share).select("key", F.ceil(F.col("k") / share).cast("int").alias("copies")).collect()  # SPREAD rows at most
+    if not hot:
+        return rows.join(one.drop("k"), "key")
+    hot = F.broadcast(rows.sparkSession.createDataFrame(hot, "key long, copies int"))
+    parted = rows.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("copies")), F.lit(0).cast("long"))).drop("copies")
+    copied = one.drop("k").join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long")))).drop("copies")
+    return parted.join(copied, ["key", "part"]).drop("part")
+
+
+def shared(members: DataFrame, may: Callable[[Column, Column], Column] = always) -> DataFrame:
+    """members(key, id, n) of buckets with more than one id; n is an id's size, and a member may be named several times.
+    Buckets of two that may(n of a, n of b) excludes go as well."""
+    ends = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.min_by("n", "id").alias("n_x"), F.max_by("n", "id").alias("n_y"), F.count(F.lit(1)).alias("k"))
+    keys = stored(ends.filter((F.col("x") < F.col("y")) & ((F.col("k") > 2) | may(F.col("n_x"), F.col("n_y")))).select("key"))
+    return stored(members.join(keys, "key", "left_semi").groupBy("key", "id").agg(F.min("n").alias("n")))
+
+
+def bucket_links(left: DataFrame, confirm: Callable[[DataFrame], DataFrame], pairs_left: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column] = always) -> DataFrame:
+    """Links (a, b), confirmed, that join whatever the pairs inside the buckets of shared() members join.
 
-    members may have a column `sketch`: may(sketch of a, sketch of b) then tells whether a pair is a candidate at all.
+    may(n of a, n of b) tells by the sizes whether a pair is a candidate at all.
 
-    In each round every bucket has one centre, which is compared with all its members that are not in the centre's
-    component yet; the centre has then met everyone and leaves the bucket. A bucket is done as soon as its members
-    are in one component. So copies of one text cost one comparison each and never all pairs. What is left after
-    `rounds` are members of different components that no round has compared: pairs_left gets them as (key, id,
+    First each member is compared with one other, the smallest that heads a bucket of its own; of a group of copies
+    that leaves one component. Then every bucket has one centre, twice, which is compared with all its members that are
+    not in the centre's component yet; the centre has then met everyone and leaves the bucket. A bucket is done as soon as
+    its members are in one component. So copies of one text cost one comparison each and never all pairs. What is
+    left are members of different components that have met no centre in common: pairs_left gets them as (key, id, n,
     component) and returns the pairs to compare, without those of which it can prove that they aren't linked.
     """
-    links = labels = None
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = members if "sketch" in members.columns else members.withColumn("sketch", F.lit(None).cast("long"))
-    left = stored(members.join(stored(buckets), "key", "left_semi").withColumn("component", F.col("id")))
-    for turn in range(rounds):
-        # a bucket's centre: in turn its smallest and its largest member, so that centres lie apart
-        pick = F.min if turn % 2 == 0 else F.max
-        centres = left.groupBy("key").agg(pick(F.struct("id", "component", "sketch")).alias("c"))
-        centres = stored(centres.select("key", F.col("c.id").alias("centre"), F.col("c.component").alias("of"), F.col("c.sketch").alias("sketch_b")))
-        near = (F.col("component") != F.col("of")) & may(F.col("sketch"), F.col("sketch_b"))
-        pairs = left.join(centres, "key").filter(near).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        pairs = stored(pairs)
-        if links is None or not pairs.isEmpty():
-            found = stored(confirm(pairs))
-            links = found if links is None else links.union(found)
+
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """rows of buckets that have several components."""
+        rows = rows.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        rows = stored(rows)
+        open_ = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+        kept = stored(rows.join(open_, "key", "left_semi"))
+        dropped(rows)
+        return kept
+
+    heads = stored(left.groupBy("key").agg(F.min("id").alias("head"), F.min_by("n", "id").alias("n_b"), F.count(F.lit(1)).alias("k")))
+    near = spread_join(left, heads).filter((F.col("id") != F.col("head")) & may(F.col("n"), F.col("n_b")))
+    pairs = near.groupBy("id").agg(F.min("head").alias("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    links = stored(confirm(stored(pairs)))
+    labels = stored(components(links))
+    left = labelled(left, labels)
+    for pick, pick_by in ((F.min, F.min_by), (F.max, F.max_by)):  # so that centres lie apart
+        if left.isEmpty():
+            return links
+        centres = stored(left.groupBy("key").agg(pick("id").alias("centre"), pick_by("component", "id").alias("of"), pick_by("n", "id").alias("n_b"), F.count(F.lit(1)).alias("k")))
+        both = spread_join(left, centres)
+        near = (F.col("component") != F.col("of")) & may(F.col("n"), F.col("n_b"))
+        pairs = stored(both.filter(near).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+        if not pairs.isEmpty():
+            links = links.union(stored(confirm(pairs)))
             labels = stored(components(links))
-        rest = left.join(centres, "key").filter("id <> centre").select("key", "id", "sketch")
-        rest = rest.join(labels, "id", "left").select("key", "id", "sketch", F.coalesce("component", "id").alias("component"))
-        open_ = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        rest = stored(rest.join(open_, "key", "left_semi"))
+        rest = labelled(both.filter("id <> centre").select("key", "id", "n"), labels)
         dropped(left)
         left = rest
-        if left.isEmpty():
-            return links
-    if pairs_left is not None:
-        pairs = pairs_left(left)
-    else:
-        other = left.select(*(F.col(c).alias(f"{c}_b") for c in left.columns))
-        near = (F.col("component") < F.col("component_b")) & may(F.col("sketch"), F.col("sketch_b"))
-        pairs = left.join(other, (F.col("key") == F.col("key_b")) & near).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
-    pairs = stored(pairs)
+    if left.isEmpty():
+        return links
+    pairs = stored(pairs_left(left))
     return links if pairs.isEmpty() else links.union(stored(confirm(pairs)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import chunks, stored, utf8
 from trackloom.llm.hashing import Prefixes, mixed, words_of
-from trackloom.llm.links import bucket_links, components
+from trackloom.llm.links import bucket_links, components, shared
 
 #: Registers in a band, and bands. A pair with similarity 0.85 misses all bands in 1 of 40 million cases.
 ROWS, BANDS = 5, 30
@@ -137,12 +137,13 @@ def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, id_col:
     reps = found.filter("id = rep").groupBy("id").agg(F.min(F.struct("h", "n", "sketch")).alias("x"))
     reps = stored(reps.select("id", "x.h", "x.n", "x.sketch"))
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.expr("sketch").substr(i * 2 * ROWS + 1, F.lit(2 * ROWS)))).alias("band", "value")
-    buckets = reps.select("id", band).select(F.xxhash64("band", "value").alias("key"), "id")
+    may = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    buckets = shared(reps.select("id", "n", band).select(F.xxhash64("band", "value").alias("key"), "id", "n"), may)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
         pairs = pairs.join(reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-        pairs = stored(estimated(pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)).filter(F.col("similarity") * 100 >= percent - 100 * MARGIN))
+        pairs = stored(estimated(pairs).filter(F.col("similarity") * 100 >= percent - 100 * MARGIN))
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(reps.select("id", "h"), "id")
         sets = stored(full_sets(docs.join(ids, ["id", "h"], "left_semi"), k))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -169,7 +170,7 @@ def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, id_col:
         may = (F.col("component") != F.col("component_b")) & (most * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent)
         return ask.join(answer, (ask["t"] == answer["t"]) & may).select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
-    links = bucket_links(buckets, confirm, pairs_left=pairs_left)
+    links = bucket_links(buckets, confirm, pairs_left, may)
     same = member.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     labels = components(links.union(same))
     return rows.join(labels, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
