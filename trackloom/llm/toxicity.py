@@ -148,7 +148,7 @@ def trained(texts: pa.Array, toxic: np.ndarray, epochs: int = EPOCHS, seed: int
     bias = np.zeros(2)
     steps = [np.full(x.shape, 1e-8) for x in (table, softmax, bias)]
     data, offsets = utf8(texts)
-    weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).mean()), 1.0) if len(toxic) else toxic
+    weight = np.where(toxic == 1, 0.5 / (toxic == 1).mean(), 0.5 / (toxic == 0).mean())  # both labels weigh alike
     ranges = list(chunks(offsets, int(offsets[-1] - offsets[0]) // BATCHES + 1))
     batches = [Bags(data, offsets[a : b + 1]) for a, b in ranges]
     softmax[0] = -1.0, 1.0
@@ -187,7 +187,7 @@ def trained(texts: pa.Array, toxic: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, keep) -> DataFrame:
-    """(text, toxic) of at most TOXIC_ROWS and CLEAN_ROWS labelled rows with a text and half of SAMPLE_BYTES each, chosen by a hash of doc_id.
+    """(order, doc_id, text, toxic) of at most TOXIC_ROWS and CLEAN_ROWS labelled rows with a text and half of SAMPLE_BYTES each, chosen by a hash of doc_id.
 
     Labels of one doc_id that disagree count as toxic; of rows that repeat a doc_id one is taken. Of each label the shortest
     texts go in first, so that a long one costs only itself; a label none of whose texts fits is an error. Ids are chosen
@@ -205,7 +205,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, keep) -> DataFrame:
     all_labels, sampled = rows.select(F.count_distinct("toxic"), F.count_distinct(F.when(fits, F.col("toxic")))).first()
     if sampled < all_labels:
         raise ValueError(f"all chosen texts of a label are longer than {SAMPLE_BYTES // 2} bytes")
-    return rows.filter(fits).orderBy("order", "doc_id").select("text", "toxic")  # labels and lengths mixed, for training
+    return rows.filter(fits).select("order", "doc_id", "text", "toxic")
 
 
 def held_in(doc_id):
@@ -213,14 +213,27 @@ def held_in(doc_id):
 
 
 def fitted(documents: DataFrame, labels: DataFrame, keep=held_in) -> Model:
-    sample = labelled_sample(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), keep).toArrow()
-    return trained(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy().astype(float))
+    """The model of a sample of labelled documents. One task trains it, whose input is bounded, so that the driver holds
+    the model alone; a lost executor only means that another one trains it again, with the same result."""
+    sample = labelled_sample(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), keep)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("order", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])).combine_chunks()
+        texts = table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string())
+        model = trained(texts, table.column("toxic").to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([model.numbers.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.empty])], names=["numbers", "bias", "empty"])
+
+    # labels and lengths mixed, for training
+    rows = sample.coalesce(1).sortWithinPartitions("order", "doc_id").mapInArrow(train, "numbers binary, bias double, empty double").collect()
+    numbers, bias, empty = rows[0] if rows else (np.zeros(TABLE, np.float32).tobytes(), -50.0, 0.0)
+    return Model(np.frombuffer(numbers, np.float32), bias, empty)
 
 
 def scored(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """documents with `score`, from 0 to 1; columns of the input stay, but for one named score.
 
-    A text without words, empty or null, gets the share of toxic rows in the training sample.
+    A text without words, empty or null, gets the share of toxic rows in the training sample. Very long texts are scored whole, in
+    parts of a batch of their own. Rows that repeat an id are scored each; an empty table gives an empty result.
     """
     columns = [c for c in documents.columns if c != "score"]
 
