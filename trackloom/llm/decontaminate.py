@@ -60,9 +60,9 @@ def least(a: Column, b: Column) -> Column:
 
 
 def window_blocks(size: int) -> tuple[int, int]:
-    """Blocks of a window, and blocks from one to the next, for items of up to `size` shingles: size is BLOCK * 2**i."""
-    step = max(1, size // 2 // BLOCK)
-    return step + size // BLOCK, step
+    """Blocks of a window, and blocks from one to the next, for items of up to `size` shingles: size is BLOCK * 2**i, i > 0."""
+    step = size // 2 // BLOCK
+    return 3 * step, step
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,16 +73,37 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(items.select("item_id", "hashes", bound.alias("size"), F.struct("item_id", F.xxhash64("hashes").alias("h")).alias("item")).dropDuplicates(["item"]))
 
 
-def windows(blocks: Column, size: int) -> Column:
-    """(size, registers) of each window for items of up to `size` shingles, from the registers of a document's blocks."""
-    width, step = window_blocks(size)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(blocks) - width + step - 1), F.lit(step))
+def windows(blocks: Column, sizes: list[int]) -> Column:
+    """(size, registers) of each window for items of up to each of `sizes` shingles, from the registers of a document's blocks.
 
-    def one(i: Column) -> Column:
-        parts = (F.coalesce(F.get(blocks, i + j), F.get(blocks, i)) for j in range(width))  # the last window may be shorter
-        return F.struct(F.lit(size).alias("size"), reduce(least, parts).alias("registers"))
+    Registers of 2, 4, 8 and more blocks come from those of half as many, so that a window of 3 * 2**i blocks takes two of them and
+    the plan grows with the logarithm of the longest item. Windows at a text's end are shorter.
+    """
+
+    def from_(runs: Column, i: Column) -> Column:
+        return F.get(runs, i)
+
+    def both(a: Column, i: Column, b: Column, j: Column) -> Column:
+        """The registers of the run of blocks at i and of that at j, if there is one."""
+        return F.when(j < F.size(blocks), least(from_(a, i), from_(b, j))).otherwise(from_(a, i))
+
+    def some(runs: Column, n: int) -> Column:
+        """All windows that begin with n blocks, 2 n and more; runs has the registers of n blocks from each place on."""
+        sizes_left = [s for s in sizes if window_blocks(s)[1] >= n]
+        if not sizes_left:
+            return F.array().cast("array<struct<size: int, registers: array<long>>>")
+
+        def longer(twice: Column) -> Column:
+            size = 2 * n * BLOCK
+            rest = some(twice, 2 * n)
+            if size not in sizes:
+                return rest
+            starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(blocks) - 2 * n - 1), F.lit(n))
+            return F.concat(F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), both(twice, i, runs, i + 2 * n).alias("registers"))), rest)
+
+        return let(F.transform(runs, lambda x, i: both(runs, i, runs, i + n)), longer)
 
-    return F.transform(starts, one)
+    return some(blocks, 1)
 
 
 def contained(documents: DataFrame, benchmark: DataFrame, share: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -90,8 +111,8 @@ def contained(documents: DataFrame, benchmark: DataFrame, share: float = CONTAIN
 
     Found are items that stand in one piece, inserts and edits included, which a window holds. Texts are compared by
     their words in lower case. Null and empty texts contain nothing and are contained nowhere. Rows that repeat an id are compared each, and
-    every doc_id and item is returned once, with the largest n_found. A null id is an id like any other. Further columns are ignored, whatever
-    their names.
+    every doc_id and item is returned once, with the largest n_found. A null id is an id like any other. Texts and items may be of any length;
+    empty tables give an empty result. Further columns are ignored, whatever their names.
     """
     items = items_of(benchmark, item_id, item_text)
     sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # powers of 2: a few dozen at most
@@ -110,7 +131,7 @@ def contained(documents: DataFrame, benchmark: DataFrame, share: float = CONTAIN
     def of_windows(hashes: Column) -> Column:
         parts = [F.array(F.struct(F.lit(SMALL).alias("size"), F.array_distinct(hashes).alias("registers")))] if SMALL in sizes else []
         if sizes != [SMALL]:
-            parts.append(let(of_blocks(hashes), lambda blocks: F.concat(*(windows(blocks, size) for size in sizes if size != SMALL))))
+            parts.append(let(of_blocks(hashes), lambda blocks: windows(blocks, [size for size in sizes if size != SMALL])))
         return F.when(F.size(hashes) > 0, F.concat(*parts))
 
     found = docs.select("doc_id", "h", F.explode(let(shingles(F.col("text")), of_windows)).alias("w")).select("doc_id", "h", "w.size", F.posexplode("w.registers").alias("register", "value")).withColumn("register", register_of)
