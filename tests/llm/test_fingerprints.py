@@ -35,7 +35,7 @@ def brute(text):
         h = next((bins[b] for b in ask if bins[b] is not None), None)
         if h is None:
             h = min((_chain_int_long(i, b), bins[b]) for b in range(256) if bins[b] is not None)[1]
-        out.append("0123456789abcdef"[h & 15])
+        out.append("0123456789abcdef"[_kept(h, i)])
     return "".join(out)
 
 
@@ -45,6 +45,11 @@ def _chain_int_long(i, b):
     return seed - 2**64 if seed >= 2**63 else seed
 
 
+def _kept(h, i):
+    seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed=42)
+    return xxhash.xxh64_intdigest(struct.pack("<i", i), seed=seed) & 15
+
+
 TEXTS = [None, "", " \n", "one", "a b c d", "a b c d e", "a b  c\td e f", "é " * 30, " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(90_000))]
 
 
@@ -66,6 +71,12 @@ def test_estimates(spark):
         assert abs(r.x - r.share / (2 - r.share)) < 0.03
 
 
+def test_short_texts_without_a_word_in_common(spark):
+    rows = [(" ".join(f"a{i}{j}" for j in range(n)), " ".join(f"b{i}{j}" for j in range(n))) for i in range(300) for n in (1, 3, 5, 6)]
+    near = spark.createDataFrame(rows, "a string, b string").select(likeness(fingerprint(F.col("a")), fingerprint(F.col("b"))).alias("x"))
+    assert near.agg(F.max("x")).first()[0] < 0.15
+
+
 def check(rows, docs):
     """docs: distinct (doc_id, text) with distinct ids."""
     order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0), reverse=True)

@@ -2,8 +2,8 @@
 
 Each 5-word shingle is hashed once. The hash's upper bits choose one of 256 bins, and each bin keeps its least hash.
 An empty bin borrows from a full one by optimal densification: it asks bins in an order that depends on its own number
-alone, until one is full, so two texts that agree on which bins are full borrow alike. Of each bin the 4 lowest bits
-are kept, packed into 16 longs. Equal bins, less those that agree by chance (1 in 16), estimate the similarity.
+alone, until one is full, so two texts that agree on which bins are full borrow alike. Of each bin 4 bits of a hash of bin and
+value are kept, packed into 16 longs. Equal bins, less those that agree by chance (1 in 16), estimate the similarity.
 
 All of it is built-in array functions: texts stay in the JVM.
 """
@@ -72,8 +72,10 @@ def densified(least: Column) -> Column:
 
 
 def packed(hashes: Column) -> Column:
-    """The lowest bits of BINS hashes, _PER_LONG to a long."""
+    """Some bits of BINS hashes, _PER_LONG to a long. They depend on the bin, too: bins that hold one hash, borrowed ones, do not agree
+    with another text's by one and the same chance."""
     mask = F.lit((1 << KEPT_BITS) - 1).cast("long")
+    hashes = F.transform(hashes, lambda h, i: F.xxhash64(h, i))
     one = lambda j: F.aggregate(F.slice(hashes, j * _PER_LONG + 1, _PER_LONG), F.lit(0).cast("long"), lambda a, h: F.shiftleft(a, KEPT_BITS).bitwiseOR(h.bitwiseAND(mask)))
     return F.transform(F.sequence(F.lit(0), F.lit(BINS // _PER_LONG - 1)), one)
 
@@ -124,7 +126,7 @@ def fingerprinted(documents: DataFrame, size: int = SHINGLE, id_col: str = "doc_
     tells apart rows that repeat a doc_id, and next_id, next_h name the next text, for compared().
     The next text is that of the next smaller doc_id; after the smallest comes the largest, so a single text is its own next.
     A null text is empty. A null doc_id is smaller than all others; rows that repeat a doc_id go on by a hash of their
-    texts; rows equal in both are each in the result, and one in the order. Further columns are ignored, whatever their names.
+    texts; rows equal in both are each in the result, and one in the order. An empty table gives an empty result. Further columns are ignored, whatever their names.
     """
     docs = documents.select(*row_key(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession
