@@ -44,7 +44,6 @@ def test_plan_is_best_fit(lengths):
 
 def check(rows, docs, capacity, places=True):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     want = []
     for doc_id, text in docs:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
