@@ -61,9 +61,10 @@ def spread_join(rows: DataFrame, one: DataFrame) -> DataFrame:
 def shared(members: DataFrame, may: Callable[[Column, Column], Column] = always) -> DataFrame:
     """members(key, id, n) of buckets with more than one id; n is an id's size, and a member may be named several times.
     Buckets of two that may(n of a, n of b) excludes go as well."""
+    members = members.repartition("key")  # once: what follows finds the rows of a key together
     ends = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.min_by("n", "id").alias("n_x"), F.max_by("n", "id").alias("n_y"), F.count(F.lit(1)).alias("k"))
-    keys = stored(ends.filter((F.col("x") < F.col("y")) & ((F.col("k") > 2) | may(F.col("n_x"), F.col("n_y")))).select("key"))
-    return stored(members.join(keys, "key", "left_semi").groupBy("key", "id").agg(F.min("n").alias("n")))
+    keys = ends.filter((F.col("x") < F.col("y")) & ((F.col("k") > 2) | may(F.col("n_x"), F.col("n_y")))).select("key")
+    return stored(members.join(keys.hint("shuffle_hash"), "key", "left_semi").groupBy("key", "id").agg(F.min("n").alias("n")))
 
 
 def bucket_links(left: DataFrame, confirm: Callable[[DataFrame], DataFrame], pairs_left: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column] = always) -> DataFrame:
