@@ -10,16 +10,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Settings of a variant and what they are if nothing is said; those ending in _p are probabilities.
-DEFAULTS = {"drop_p": 0.0, "drop_min": 1, "drop_max": 5, "switch_p": 0.0, "modes": 2, "bias": 0.0, "jitter": 0.0, "yaw_p": 0.0, "height": 0.0, "confuse_p": 0.0, "confuse_len": 8, "confuse_far": 1.0, "tp_low": 0.6, "tp_high": 1.0, "fp_low": 0.3, "fp_high": 0.7}
+#: The settings of a variant and what they are if nothing is said. Names say their unit: _s seconds, _m metres,
+#: _rad radians, _rel a share of the size; those with _p_ are probabilities.
+DEFAULTS = {
+    "fps": 15.0, "class_name": "pedestrian", "severity": 1.0,
+    "dropout_enable": False, "dropout_p_start": 0.0, "dropout_min_s": 0.0, "dropout_max_s": 0.0,
+    "instability_enable": False, "instability_k_modes": 3, "instability_p_switch": 0.0,
+    "instability_mode_xy_sigma_m": 0.0, "instability_mode_yaw_sigma_rad": 0.0, "instability_mode_lwh_sigma_rel": 0.0,
+    "instability_jitter_xy_sigma_m": 0.0, "instability_jitter_yaw_sigma_rad": 0.0, "instability_jitter_lwh_sigma_rel": 0.0, "instability_p_yaw_random": 0.0,
+    "confuser_enable": False, "confuser_p_start": 0.0, "confuser_min_s": 0.0, "confuser_max_s": 0.0, "confuser_max_active": 1, "confuser_p_static": 0.0,
+    "confuser_offset_xy_mu_m": 0.0, "confuser_offset_xy_sigma_m": 0.0, "confuser_yaw_sigma_rad": 0.0, "confuser_lwh_sigma_rel": 0.0,
+    "confuser_jitter_xy_sigma_m": 0.0, "confuser_jitter_yaw_sigma_rad": 0.0, "confuser_jitter_lwh_sigma_rel": 0.0, "confuser_p_yaw_random": 0.0,
+    "confuser_static_offset_xy_mu_m": 0.0, "confuser_static_offset_xy_sigma_m": 0.0, "confuser_static_yaw_sigma_rad": 0.0, "confuser_static_lwh_sigma_rel": 0.0,
+    "confuser_static_jitter_xy_sigma_m": 0.0, "confuser_static_jitter_yaw_sigma_rad": 0.0, "confuser_static_jitter_lwh_sigma_rel": 0.0, "confuser_static_p_yaw_random": 0.0,
+    "confuser_only_when_primary_present": True, "score_value": 1.0, "score_mode": "constant", "score_dists": "",
+}
 
 EXAMPLE = {
-    "base": {"jitter": 0.02},
-    "single_mode_sweeps": {"dropout": [{"name": "light", "drop_p": 0.02}, {"name": "heavy", "drop_p": 0.1, "drop_max": 12}], "switching": [{"name": "on", "switch_p": 0.2, "bias": 0.3}]},
-    "combos": [{"name": "all", "use": {"dropout": "heavy", "switching": "on"}, "overrides": {"confuse_p": 0.05}}],
+    "base": {"instability_jitter_xy_sigma_m": 0.02},
+    "single_mode_sweeps": {
+        "dropout": [{"name": "light", "dropout_enable": True, "dropout_p_start": 0.02, "dropout_max_s": 0.4}, {"name": "heavy", "dropout_enable": True, "dropout_p_start": 0.1, "dropout_min_s": 0.2, "dropout_max_s": 0.8}],
+        "switching": [{"name": "on", "instability_enable": True, "instability_p_switch": 0.2, "instability_mode_xy_sigma_m": 0.3, "instability_mode_lwh_sigma_rel": 0.1, "instability_p_yaw_random": 0.05}],
+        "confusers": [{"name": "near", "confuser_enable": True, "confuser_p_start": 0.05, "confuser_min_s": 0.2, "confuser_max_s": 1.0, "confuser_max_active": 2, "confuser_p_static": 0.5, "confuser_offset_xy_mu_m": 0.8, "confuser_offset_xy_sigma_m": 0.2}],
+    },
+    "combos": [{"name": "all", "use": {"dropout": "heavy", "switching": "on", "confusers": "near"}, "overrides": {"score_mode": "sample", "severity": 1.5}}],
 }
 
 
+def is_probability(name: str) -> bool:
+    return "_p_" in name
+
+
 def resolve(spec: Mapping) -> list[dict]:
     """The variants of a spec: clean, each level of each sweep, and combinations of levels. Probabilities are clipped."""
 
@@ -29,20 +50,30 @@ def resolve(spec: Mapping) -> list[dict]:
             out |= {k: v for k, v in part.items() if k != "name"}
         if unknown := set(out) - set(DEFAULTS):
             raise ValueError(f"unknown settings: {sorted(unknown)}")
-        return {k: min(1.0, max(0.0, v)) if k.endswith("_p") else v for k, v in out.items()} | {"name": name}
+        return {k: min(1.0, max(0.0, v)) if is_probability(k) else v for k, v in out.items()} | {"name": name}
 
     base, sweeps = spec.get("base", {}), spec.get("single_mode_sweeps", {})
     levels = {(mode, level["name"]): level for mode, many in sweeps.items() for level in many}
     out = [made("clean")]
     out += [made(f"{mode}_{name}", base, level) for (mode, name), level in levels.items()]
     out += [made(c["name"], base, *(levels[m, n] for m, n in c.get("use", {}).items()), c.get("overrides", {})) for c in spec.get("combos", [])]
+    if len({v["name"] for v in out}) < len(out):
+        raise ValueError("variants must have names of their own")
     return out
 
 
-def scaled(variant: Mapping, severity: float) -> dict:
-    """Probabilities and magnitudes times severity."""
-    grow = {k for k in DEFAULTS if k.endswith("_p") or k in ("bias", "jitter", "height", "confuse_far")}
-    return {k: (min(1.0, v * severity) if k.endswith("_p") else v * severity) if k in grow else v for k, v in variant.items()}
+def scaled(variant: Mapping) -> dict:
+    """Probabilities (clipped) and magnitudes times the variant's severity; the share of static confusers stays."""
+    s = variant["severity"]
+
+    def grown(name: str, value: object) -> object:
+        if name == "confuser_p_static":
+            return value
+        if is_probability(name):
+            return min(1.0, value * s)
+        return value * s if name.endswith(("_m", "_rad", "_rel")) else value
+
+    return {k: grown(k, v) for k, v in variant.items()}
 
 
 def group_seed(seed: int, *names: object) -> int:
@@ -50,11 +81,11 @@ def group_seed(seed: int, *names: object) -> int:
     return (seed + sum(zlib.adler32(str(n).encode()) for n in names)) % 2**32
 
 
-def truncated_normal(rng: np.random.Generator, mean: float, sigma: float, n: int) -> np.ndarray:
+def truncated_normal(rng: np.random.Generator, mean: float, sigma: float, size: int | tuple[int, ...]) -> np.ndarray:
     """Within two sigma of the mean, drawn again up to 50 times and then clipped; the mean itself for sigma <= 0."""
     if sigma <= 0:
-        return np.full(n, mean)
-    x = rng.normal(mean, sigma, n)
+        return np.full(size, mean)
+    x = rng.normal(mean, sigma, size)
     for _ in range(50):
         far = np.abs(x - mean) > 2 * sigma
         if not far.any():
@@ -63,52 +94,120 @@ def truncated_normal(rng: np.random.Generator, mean: float, sigma: float, n: int
     return np.clip(x, mean - 2 * sigma, mean + 2 * sigma)
 
 
-def corrupted(track: pd.DataFrame, v: Mapping, rng: np.random.Generator, scores: np.random.Generator) -> pd.DataFrame:
-    """One track's detections under one variant. Bursts run over frame numbers, not rows."""
-    track = track.sort_values("frame_idx")
-    n, frames = len(track), track["frame_idx"].to_numpy()
-    out = track[["frame_idx", "cx", "cy", "cz", "l", "w", "h", "rot_z"]].copy()
-    modes = rng.normal(0, 1, (int(v["modes"]), 2)) * v["bias"]
-    switch = rng.random(n) < v["switch_p"]
-    at = np.cumsum(switch) % int(v["modes"])
-    out["cx"] += modes[at, 0] + truncated_normal(rng, 0.0, v["jitter"], n)
-    out["cy"] += modes[at, 1] + truncated_normal(rng, 0.0, v["jitter"], n)
-    turned = rng.random(n) < v["yaw_p"]
-    out["rot_z"] = np.where(turned, rng.uniform(-np.pi, np.pi, n), out["rot_z"])
-    height = np.maximum(out["h"] * (1 + truncated_normal(rng, 0.0, v["height"], n)), 1e-3)
-    out["cz"] += (height - out["h"]) / 2  # the bottom stays
-    out["h"] = height
-    until, keep = -1, np.ones(n, bool)
-    for i, frame in enumerate(frames.tolist()):
-        if frame <= until:
-            keep[i] = False
-        elif rng.random() < v["drop_p"]:
-            until, keep[i] = frame + int(rng.integers(v["drop_min"], v["drop_max"] + 1)) - 1, False
-    out["kind"] = "tp"
-    parts = [out[keep]]
-    for i in np.flatnonzero(rng.random(n) < v["confuse_p"]):
-        near = out.iloc[i : i + int(v["confuse_len"])].copy()
-        angle = rng.uniform(0, 2 * np.pi)
-        near["cx"] += v["confuse_far"] * np.cos(angle)
-        near["cy"] += v["confuse_far"] * np.sin(angle)
-        parts.append(near.assign(kind="fp"))
-    out = pd.concat(parts, ignore_index=True)
-    low, high = (np.where(out["kind"] == "tp", v[f"tp_{e}"], v[f"fp_{e}"]) for e in ("low", "high"))
-    out["score"] = low + (high - low) * scores.random(len(out))
+def wrapped(a: np.ndarray) -> np.ndarray:
+    return (a + np.pi) % (2 * np.pi) - np.pi
+
+
+def frames_of(seconds: float, fps: float) -> int:
+    return max(1, int(np.ceil(seconds * fps)))
+
+
+def resized(boxes: np.ndarray, rel: np.ndarray) -> None:
+    """Length, width and height times 1 + rel, at least a millimetre each; the bottom stays where it is."""
+    size = np.maximum(boxes[:, 3:6] * (1 + rel), 1e-3)
+    boxes[:, 2] += (size[:, 2] - boxes[:, 5]) / 2
+    boxes[:, 3:6] = size
+
+
+def jittered(boxes: np.ndarray, rng: np.random.Generator, xy: float, yaw: float, lwh: float, p_random: float) -> None:
+    """Noise of each row on its own; a yaw drawn at random has none besides."""
+    n = len(boxes)
+    boxes[:, :2] += truncated_normal(rng, 0.0, xy, (n, 2))
+    resized(boxes, truncated_normal(rng, 0.0, lwh, (n, 3)))
+    anywhere = rng.random(n) < p_random
+    boxes[:, 6] = wrapped(np.where(anywhere, rng.uniform(-np.pi, np.pi, n), boxes[:, 6] + truncated_normal(rng, 0.0, yaw, n)))
+
+
+def switched(boxes: np.ndarray, v: Mapping, rng: np.random.Generator) -> np.ndarray:
+    """The track as seen under hypotheses that it switches between: each has a bias of place, yaw and size of its own."""
+    n, k = len(boxes), max(1, int(v["instability_k_modes"]))
+    xy, yaw, lwh = (truncated_normal(rng, 0.0, v[f"instability_mode_{c}"], size) for c, size in (("xy_sigma_m", (k, 2)), ("yaw_sigma_rad", k), ("lwh_sigma_rel", (k, 3))))
+    # a step of 1 to k - 1 around the circle of modes leads to each other one alike
+    step = np.where(rng.random(n) < v["instability_p_switch"], rng.integers(1, max(k, 2), n), 0)
+    step[:1] = rng.integers(0, k)
+    mode = np.cumsum(step) % k
+    out = boxes.copy()
+    out[:, :2] += xy[mode]
+    out[:, 6] = wrapped(out[:, 6] + yaw[mode])
+    resized(out, lwh[mode])
+    jittered(out, rng, *(v[f"instability_{c}"] for c in ("jitter_xy_sigma_m", "jitter_yaw_sigma_rad", "jitter_lwh_sigma_rel", "p_yaw_random")))
     return out
 
 
-def corrupt(boxes: DataFrame, variants: list[dict], seed: int) -> DataFrame:
-    """boxes(seq_name, track_id, frame_idx, box) under every variant. Groups never meet: rows don't depend on partitions."""
-    by_name = {v["name"]: v for v in variants}
+def seen_rows(frames: np.ndarray, v: Mapping, rng: np.random.Generator) -> np.ndarray:
+    """Rows outside all dropout bursts. A burst begins at a row by chance and lasts for so many frames, in which none begins."""
+    least = frames_of(v["dropout_min_s"], v["fps"])
+    lengths = rng.integers(least, max(least, frames_of(v["dropout_max_s"], v["fps"])) + 1, len(frames))
+    gone, end = np.zeros(len(frames), bool), -1
+    for i in np.flatnonzero(rng.random(len(frames)) < v["dropout_p_start"]):
+        if frames[i] >= end:
+            end = frames[i] + lengths[i]
+            gone |= (frames >= frames[i]) & (frames < end)
+    return ~gone
+
+
+def confused(frames: np.ndarray, boxes: np.ndarray, seen: np.ndarray, v: Mapping, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the track, boxes) of tracklets beside it, moving along or standing where they began, at most so many at a time."""
+    near = seen if v["confuser_only_when_primary_present"] else np.ones(len(frames), bool)
+    least = frames_of(v["confuser_min_s"], v["fps"]) if v["confuser_max_s"] > 0 else 1
+    most = max(least, frames_of(v["confuser_max_s"], v["fps"])) if v["confuser_max_s"] > 0 else 1
+    lengths, statics = rng.integers(least, most + 1, len(frames)), rng.random(len(frames)) < v["confuser_p_static"]
+    ends: list[int] = []
+    rows, out = [np.zeros(0, int)], [np.zeros((0, 7))]
+    for i in np.flatnonzero(near & (rng.random(len(frames)) < v["confuser_p_start"])):
+        ends = [e for e in ends if e > frames[i]]
+        if len(ends) >= v["confuser_max_active"]:
+            continue
+        ends.append(int(frames[i] + lengths[i]))
+        # of a static one, settings that are 0 are those of a moving one
+        of = lambda name: (statics[i] and v[f"confuser_static_{name}"]) or v[f"confuser_{name}"]  # noqa: E731, B023
+        far = abs(truncated_normal(rng, of("offset_xy_mu_m"), of("offset_xy_sigma_m"), 1)[0])
+        angle = rng.uniform(-np.pi, np.pi)
+        at = np.flatnonzero(near & (frames >= frames[i]) & (frames < ends[-1]))
+        made = boxes[at].copy()
+        if statics[i]:
+            made[:, :2] = boxes[i, :2]
+        made[:, :2] += far * np.array([np.cos(angle), np.sin(angle)])
+        made[:, 6] += truncated_normal(rng, 0.0, of("yaw_sigma_rad"), 1)
+        resized(made, truncated_normal(rng, 0.0, of("lwh_sigma_rel"), (1, 3)))
+        jittered(made, rng, *(of(c) for c in ("jitter_xy_sigma_m", "jitter_yaw_sigma_rad", "jitter_lwh_sigma_rel", "p_yaw_random")))
+        rows.append(at), out.append(made)
+    return np.concatenate(rows), np.concatenate(out)
+
+
+BOX = ["cx", "cy", "cz", "l", "w", "h", "rot_z"]
+
+
+def corrupted(track: pd.DataFrame, v: Mapping, rng: np.random.Generator, scores: np.random.Generator, pools: Mapping[str, np.ndarray]) -> pd.DataFrame:
+    """One track's detections under one variant, with severity applied: instability, dropout, confusers, scores, in this order.
+    Bursts and tracklets run over frame numbers, not rows. Scores have random numbers of their own."""
+    track = track.sort_values("frame_idx")
+    frames, boxes = track["frame_idx"].to_numpy(), track[BOX].to_numpy(float)
+    primary = switched(boxes, v, rng) if v["instability_enable"] else boxes
+    seen = seen_rows(frames, v, rng) if v["dropout_enable"] and v["dropout_max_s"] > 0 else np.ones(len(frames), bool)
+    rows, beside = confused(frames, boxes, seen, v, rng) if v["confuser_enable"] and v["confuser_max_active"] > 0 else (np.zeros(0, int), np.zeros((0, 7)))
+    parts = []
+    for kind, at, made in (("tp", np.flatnonzero(seen), primary[seen]), ("fp", rows, beside)):
+        pool = pools.get(kind, ())
+        drawn = np.asarray(pool)[scores.integers(0, len(pool), len(at))] if v["score_mode"] == "sample" and len(pool) else np.full(len(at), float(v["score_value"]))
+        parts.append(pd.DataFrame(made, columns=BOX).assign(frame_idx=frames[at], kind=kind, score=drawn))
+    return pd.concat(parts, ignore_index=True)
+
+
+def corrupt(boxes: DataFrame, variants: list[dict], seed: int, pools: Mapping[str, list[float]] | None = None) -> DataFrame:
+    """boxes(seq_name, track_id, frame_idx, box) under every variant, by tracks. Groups never meet: rows don't depend on partitions.
+
+    pools: scores of true ('tp') and false ('fp') detections to draw from, a bounded sample (see sources.reports.score_pools).
+    """
+    by_name = {v["name"]: scaled(v) for v in variants}
+    held = {k: np.asarray(x, float) for k, x in (pools or {}).items()}
 
     def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         variant, seq, track = key
-        s = group_seed(seed, variant, seq, track)
-        out = corrupted(pdf, by_name[variant], np.random.default_rng(s), np.random.default_rng(s + 1))
-        return out.assign(variant=variant, seq_name=seq, track_id=track)
+        streams = (np.random.default_rng(group_seed(seed, variant, seq, "tid", track, part)) for part in ("geom", "score"))
+        return corrupted(pdf, by_name[variant], *streams, held).assign(variant=variant, seq_name=seq, track_id=track)
 
     rows = boxes.withColumn("variant", F.explode(F.lit(list(by_name))))
-    schema = "variant string, seq_name string, track_id bigint, frame_idx int, cx double, cy double, cz double, l double, w double, h double, rot_z double, kind string, score double"
-    columns = ["variant", "seq_name", "track_id", "frame_idx", "cx", "cy", "cz", "l", "w", "h", "rot_z", "kind", "score"]
+    schema = "variant string, seq_name string, track_id bigint, frame_idx int, " + ", ".join(f"{c} double" for c in BOX) + ", kind string, score double"
+    columns = ["variant", "seq_name", "track_id", "frame_idx", *BOX, "kind", "score"]
     return rows.groupBy("variant", "seq_name", "track_id").applyInPandas(lambda k, p: group(k, p)[columns], schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from trackloom.functions.geometry import association_cost, bev_iou
 KEY = ["seq_name", "frame_idx"]
 
 
+BOX = ("cx", "cy", "cz", "l", "w", "h", "rot_z")
+
+
 def candidates(left: DataFrame, right: DataFrame, radius: float, top_k: int | None = None, z_gate: float | None = None, min_iou: float | None = None) -> DataFrame:
     """Pairs of a frame within `radius` of each other seen from above, with dist2 and, if min_iou is given, iou.
 
@@ -66,14 +71,30 @@ def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def assigned_pairs(tracks: np.ndarray, dets: np.ndarray, cost: np.ndarray, method: str = "optimal") -> np.ndarray:
-    """Indices of the chosen edges: as many as possible, then at least cost; or greedily, the cheapest edge first."""
+    """Indices of the chosen edges: as many as possible, then at least cost; or greedily, the cheapest edge first.
+
+    tracks and dets may be of many frames at once, if none has a number of another frame. Of a component in which all edges share a box
+    the cheapest edge is chosen, for all of them together; only the others are looked at one by one.
+    """
     order = np.lexsort((dets, tracks, cost))
     if method == "greedy":
         seen, out = (set(), set()), []
-        for e in order:
-            if tracks[e] not in seen[0] and dets[e] not in seen[1]:
-                seen[0].add(tracks[e]), seen[1].add(dets[e]), out.append(e)
+        for e, t, d in zip(order.tolist(), tracks[order].tolist(), dets[order].tolist()):
+            if t not in seen[0] and d not in seen[1]:
+                seen[0].add(t), seen[1].add(d), out.append(e)
         return np.array(sorted(out), int)
+    if not len(order):
+        return order
+    (_, t), (_, d) = np.unique(tracks, return_inverse=True), np.unique(dets, return_inverse=True)
+    degree = [np.bincount(x)[x] for x in (t, d)]
+    # the most edges that the boxes on the other side have: 1 if all around this box have only the edge to it
+    around = [np.zeros(x.max() + 1, int) for x in (t, d)]
+    np.maximum.at(around[0], t, degree[1]), np.maximum.at(around[1], d, degree[0])
+    star = np.where(around[0][t] == 1, 0, np.where(around[1][d] == 1, 1, 2))
+    out = []
+    for kind, x in ((0, t), (1, d)):
+        mine = order[star[order] == kind]
+        out += mine[np.unique(x[mine], return_index=True)[1]].tolist()
     root: dict = {}
 
     def find(x):
@@ -82,34 +103,47 @@ def assigned_pairs(tracks: np.ndarray, dets: np.ndarray, cost: np.ndarray, metho
             x = root[x]
         return x
 
-    for t, d in zip(tracks, dets):
-        root[find((0, t))] = find((1, d))
+    rest = order[star[order] == 2].tolist()
+    for e in rest:
+        root[find(int(t[e]))] = find(-1 - int(d[e]))
     parts: dict = {}
-    for e in order:
-        parts.setdefault(find((0, tracks[e])), []).append(e)
-    out = []
+    for e in rest:
+        parts.setdefault(find(int(t[e])), []).append(e)
     for edges in parts.values():
-        if len(edges) == 1:
-            out += edges
-            continue
-        rows, cols = (sorted(set(x[edges])) for x in (tracks, dets))
-        n, at = max(len(rows), len(cols)), {}
+        (_, i), (_, j) = np.unique(t[edges], return_inverse=True), np.unique(d[edges], return_inverse=True)
+        n, at = max(i.max(), j.max()) + 1, {}
         matrix = np.full((n, n), 1e6)
-        for e in edges:
-            i, j = rows.index(tracks[e]), cols.index(dets[e])
-            if cost[e] < matrix[i, j]:
-                matrix[i, j], at[i, j] = cost[e], e
+        for e, a, b in zip(edges, i.tolist(), j.tolist()):
+            if cost[e] < matrix[a, b]:
+                matrix[a, b], at[a, b] = cost[e], e
         out += [at[p] for p in least_cost(matrix) if p in at]
     return np.array(sorted(out), int)
 
 
 def assign(edges: DataFrame, method: str = "optimal") -> DataFrame:
-    """edges(seq_name, frame_idx, track_id, det_id, cost) of each frame, one to one. A frame's edges are few."""
+    """edges(seq_name, frame_idx, track_id, det_id, cost) of each frame, one to one.
 
-    def frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[assigned_pairs(pdf["track_id"].to_numpy(), pdf["det_id"].to_numpy(), pdf["cost"].to_numpy(), method)]
-
-    return edges.select(*KEY, "track_id", "det_id", "cost").groupBy(*KEY).applyInPandas(frame, edges.select(*KEY, "track_id", "det_id", "cost").schema)
+    A frame's edges stand side by side in a partition; a task takes many frames at a time, and keeps an unfinished one for its next batch.
+    """
+    rows = edges.select(*KEY, "track_id", "det_id", "cost")
+
+    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+        frame = pdf.groupby(KEY, sort=False).ngroup().to_numpy()
+        t, d = (pd.MultiIndex.from_arrays([frame, pdf[c]]).factorize(sort=True)[0] for c in ("track_id", "det_id"))
+        return pdf.iloc[assigned_pairs(t, d, pdf["cost"].to_numpy(), method)]
+
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = (pdf[KEY] == pdf[KEY].iloc[-1]).all(axis=1)
+            held = pdf[last]
+            if not last.all():
+                yield chosen(pdf[~last])
+        if held is not None:
+            yield chosen(held)
+
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInPandas(frames, rows.schema)
 
 
 def edges_of(pairs: DataFrame, weight: float = 10.0) -> DataFrame:

@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
-from trackloom.operators import corruption, matching, summaries, tracks
-from trackloom.plans.tables import derived, with_sql
+from trackloom.operators import corruption, joins, matching, predicates, summaries, tracks
+from trackloom.operators.registry import KEYS, ORACLE_SQL, QUERIES, C, query, r6
 from trackloom.sources import formats
 from trackloom.streaming import tracker
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-PI = "pi()"
 WRAP = "(CASE WHEN fmod({0}, 2 * pi()) < 0 THEN fmod({0}, 2 * pi()) + 2 * pi() ELSE fmod({0}, 2 * pi()) END)"
 
 
-def query(name: str, sql: str | None = None, *tables: str):
-    """Register a function of the named derived tables; sql selects the same from them."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(*derived(spark, sf_dir, *tables))
-        if sql is not None:
-            ORACLE_SQL[name] = with_sql(sql, *tables)
-        return f
-
-    return register
-
-
-def r6(c: Column, name: str) -> Column:
-    """Six decimals; + 0.0 makes of a negative zero a positive one."""
-    return (F.round(c, 6) + 0.0).alias(name)
-
-
-C = F.col
-KEYS = ("seq_name", "frame_idx")
 
 
 @query("g1_wrap_angles", f"SELECT seq_name, frame_idx, track_id, round({WRAP.format('rot_z * 7 - 5')}, 6) + 0.0 AS a, round({WRAP.format('(rot_z * 7 - 5 + pi())')} - pi(), 6) + 0.0 AS b FROM gt", "gt")
@@ -71,10 +47,8 @@ def g5(poses):
     "gt", "poses",
 )
 def g7(gt, poses):
-    q = [C(c) for c in ("qx", "qy", "qz", "qw")]
-    x, y, z = G.rotated(*q, C("cx"), C("cy"), C("cz"))
-    both = gt.join(poses, ["seq_name", "frame_idx"])
-    return both.select(*KEYS, "track_id", r6(x + C("x"), "gx"), r6(y + C("y"), "gy"), r6(z + C("z"), "gz"), r6(C("rot_z") - G.yaw_of_quaternion(*q), "gyaw"))
+    moved = joins.to_global(gt, poses)
+    return moved.select(*KEYS, "track_id", r6(C("cx"), "gx"), r6(C("cy"), "gy"), r6(C("cz"), "gz"), r6(C("rot_z"), "gyaw"))
 
 
 @query("g9_clips_and_frames", "SELECT seq_name, frame_idx, det_id, round(greatest(0, least(1, score * 2 - 0.7)), 6) AS s, CAST(greatest(1, ceil(score * 15)) AS int) AS n FROM det", "det")
@@ -88,7 +62,25 @@ def g11(gt):
     return rows.select(*KEYS, "track_id", r6(C("c")[0]["x"], "x0"), r6(C("c")[0]["y"], "y0"), r6(C("c")[2]["x"], "x2"))
 
 
-@query("g12_oriented_overlap", None, "gt", "det")
+_CORNER = "{{'x': {0}.cx + {1} * {0}.l * cos({0}.rot_z) - {2} * {0}.w * sin({0}.rot_z), 'y': {0}.cy + {1} * {0}.l * sin({0}.rot_z) + {2} * {0}.w * cos({0}.rot_z)}}"
+_CORNERS = lambda t: "[" + ", ".join(_CORNER.format(t, a, b) for a, b in ((0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5), (0.5, -0.5))) + "]"
+_INSIDE = "lambda q: abs((q.x - {0}.cx) * cos({0}.rot_z) + (q.y - {0}.cy) * sin({0}.rot_z)) <= {0}.l / 2 + 1e-9 AND abs((q.y - {0}.cy) * cos({0}.rot_z) - (q.x - {0}.cx) * sin({0}.rot_z)) <= {0}.w / 2 + 1e-9"
+#: Corners of one box in the other and crossings of edges, by angle around their centre, and the area that they enclose.
+OVERLAP = f"""SELECT seq_name, frame_idx, track_id, det_id, round(least(1, greatest(0, common / (2 * 0.6 * 0.5 - common))), 6) AS iou FROM (
+SELECT *, CASE WHEN len(s) < 3 THEN 0 ELSE abs(list_sum(list_transform(range(1, len(s) + 1), lambda k: s[k].x * s[k % len(s) + 1].y - s[k % len(s) + 1].x * s[k].y))) / 2 END AS common FROM (
+SELECT *, list_sort(list_transform(p, lambda q: {{'a': atan2(q.y - my, q.x - mx), 'x': q.x - mx, 'y': q.y - my}})) AS s FROM (
+SELECT *, list_avg(list_transform(p, lambda q: q.x)) AS mx, list_avg(list_transform(p, lambda q: q.y)) AS my FROM (
+SELECT seq_name, frame_idx, track_id, det_id, list_concat(list_filter(pa, {_INSIDE.format('b')}), list_filter(pb, {_INSIDE.format('a')}),
+  list_transform(list_filter(x, lambda c: abs(c.d) >= 1e-12 AND c.t >= 0 AND c.t <= c.d * sign(c.d) AND c.u >= 0 AND c.u <= c.d * sign(c.d)), lambda c: {{'x': c.x + c.ex * c.t / abs(c.d), 'y': c.y + c.ey * c.t / abs(c.d)}})) AS p FROM (
+SELECT *, list_transform(range(0, 16), lambda n: {{'x': pa[n // 4 + 1].x, 'y': pa[n // 4 + 1].y, 'ex': pa[(n // 4 + 1) % 4 + 1].x - pa[n // 4 + 1].x, 'ey': pa[(n // 4 + 1) % 4 + 1].y - pa[n // 4 + 1].y,
+  'd': (pa[(n // 4 + 1) % 4 + 1].x - pa[n // 4 + 1].x) * (pb[(n % 4 + 1) % 4 + 1].y - pb[n % 4 + 1].y) - (pa[(n // 4 + 1) % 4 + 1].y - pa[n // 4 + 1].y) * (pb[(n % 4 + 1) % 4 + 1].x - pb[n % 4 + 1].x),
+  't': sign((pa[(n // 4 + 1) % 4 + 1].x - pa[n // 4 + 1].x) * (pb[(n % 4 + 1) % 4 + 1].y - pb[n % 4 + 1].y) - (pa[(n // 4 + 1) % 4 + 1].y - pa[n // 4 + 1].y) * (pb[(n % 4 + 1) % 4 + 1].x - pb[n % 4 + 1].x)) * ((pb[n % 4 + 1].x - pa[n // 4 + 1].x) * (pb[(n % 4 + 1) % 4 + 1].y - pb[n % 4 + 1].y) - (pb[n % 4 + 1].y - pa[n // 4 + 1].y) * (pb[(n % 4 + 1) % 4 + 1].x - pb[n % 4 + 1].x)),
+  'u': sign((pa[(n // 4 + 1) % 4 + 1].x - pa[n // 4 + 1].x) * (pb[(n % 4 + 1) % 4 + 1].y - pb[n % 4 + 1].y) - (pa[(n // 4 + 1) % 4 + 1].y - pa[n // 4 + 1].y) * (pb[(n % 4 + 1) % 4 + 1].x - pb[n % 4 + 1].x)) * ((pb[n % 4 + 1].x - pa[n // 4 + 1].x) * (pa[(n // 4 + 1) % 4 + 1].y - pa[n // 4 + 1].y) - (pb[n % 4 + 1].y - pa[n // 4 + 1].y) * (pa[(n // 4 + 1) % 4 + 1].x - pa[n // 4 + 1].x))}}) AS x FROM (
+SELECT a.seq_name, a.frame_idx, a.track_id, b.det_id, a, b, {_CORNERS('a')} AS pa, {_CORNERS('b')} AS pb FROM gt a JOIN det b ON a.seq_name = b.seq_name AND a.frame_idx = b.frame_idx
+  AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= CAST(0.45 AS double) * CAST(0.45 AS double)))))))"""
+
+
+@query("g12_oriented_overlap", OVERLAP, "gt", "det")
 def g12(gt, det):
     """Overlap of all boxes of a frame that are near each other."""
     return matching.candidates(gt, det, 0.45, min_iou=0.0).select(*KEYS, "track_id", "det_id", r6(C("iou"), "iou"))
@@ -141,10 +133,9 @@ def j9(gt, det):
     return matching.matched(det, matches_of(gt, det)).select(*KEYS, "det_id", "score")
 
 
-@query("j1_frame_alignment", "SELECT seq_name, frame_idx, coalesce(n_gt, 0) AS n_gt, coalesce(n_det, 0) AS n_det FROM (SELECT seq_name, frame_idx, count(*) AS n_gt FROM gt GROUP BY ALL) FULL JOIN (SELECT seq_name, frame_idx, count(*) AS n_det FROM det WHERE score > 0.95 GROUP BY ALL) USING (seq_name, frame_idx)", "gt", "det")
+@query("j1_frame_alignment", "SELECT seq_name, frame_idx, coalesce(n_gt, 0) AS n_gt, coalesce(n_det, 0) AS n_det FROM (SELECT seq_name, frame_idx, count(*) AS n_gt FROM gt GROUP BY ALL) FULL JOIN (SELECT seq_name, frame_idx, count(*) AS n_det FROM det GROUP BY ALL) USING (seq_name, frame_idx)", "gt", "det")
 def j1(gt, det):
-    a, b = gt.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_gt")), det.filter("score > 0.95").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_det"))
-    return a.join(b, ["seq_name", "frame_idx"], "full").select(*KEYS, F.coalesce("n_gt", F.lit(0)).alias("n_gt"), F.coalesce("n_det", F.lit(0)).alias("n_det"))
+    return joins.frame_counts(predicates.all_frames(gt, det), n_gt=gt, n_det=det)
 
 
 @query("s5_timestamps", "SELECT f.seq_name, f.frame_idx, round(p.timestamp_ns * 1e-9, 6) AS t FROM frames f LEFT JOIN poses p ON f.seq_name = p.seq_name AND f.frame_idx = p.frame_idx", "frames", "poses")
@@ -152,13 +143,13 @@ def s5(frames, poses):
     return frames.join(poses, ["seq_name", "frame_idx"], "left").select(*KEYS, r6(C("timestamp_ns") * 1e-9, "t"))
 
 
-JSON_SQL = "SELECT seq_name, frame_idx, det_id AS track_id, 'pedestrian' AS label, round(score, 6) AS score, round(cx, 6) + 0.0 AS cx, round(rot_z, 6) + 0.0 AS rot_z FROM det WHERE score > 0.9 UNION ALL SELECT seq_name, frame_idx, -1, NULL, NULL, NULL, NULL FROM frames f WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.seq_name = f.seq_name AND d.frame_idx = f.frame_idx AND d.score > 0.9)"
+JSON_SQL = "SELECT seq_name, frame_idx, det_id AS track_id, 'pedestrian' AS label, round(score, 6) AS score, round(cx, 6) + 0.0 AS cx, round(rot_z, 6) + 0.0 AS rot_z FROM det UNION ALL SELECT seq_name, frame_idx, -1, NULL, NULL, NULL, NULL FROM frames f WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.seq_name = f.seq_name AND d.frame_idx = f.frame_idx)"
 
 
 @query("s1_detection_json", JSON_SQL, "det", "frames")
 def s1(det, frames):
     """Detections written as JSON and parsed again; frames without any stay."""
-    boxes = det.filter("score > 0.9").select("*", C("det_id").alias("track_id"), F.lit("pedestrian").alias("label"), C("det_id").alias("det_pos"))
+    boxes = det.select("*", C("det_id").alias("track_id"), F.lit("pedestrian").alias("label"), C("det_id").alias("det_pos"))
     rows = formats.parse_boxes(formats.boxes_json(frames, boxes))
     return rows.select(*KEYS, "track_id", F.when(C("det_pos").isNotNull(), C("label")).alias("label"), r6(C("score"), "score"), r6(C("cx"), "cx"), r6(C("rot_z"), "rot_z"))
 
@@ -172,12 +163,12 @@ def s6(det):
 
 @query("p6_score_filter", "SELECT seq_name, count(*) AS n FROM det WHERE score >= 0.8 GROUP BY ALL", "det")
 def p6(det):
-    return det.filter("score >= 0.8").groupBy("seq_name").agg(F.count(F.lit(1)).alias("n"))
+    return predicates.scored_at_least(det, 0.8).groupBy("seq_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p9_repeated_ids", "SELECT seq_name, frame_idx, track_id % 20 AS id, count(*) AS n FROM gt GROUP BY ALL HAVING count(*) > 1", "gt")
 def p9(gt):
-    return gt.groupBy(*KEYS, (C("track_id") % 20).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return predicates.repeated_ids(gt.withColumn("id", C("track_id") % 20), *KEYS, "id")
 
 
 RUNS = """SELECT seq_name, count(*) AS num_frames, coalesce(sum(s) / 1000, 0) AS total_time_s, coalesce(avg(s), 0) AS mean_step_ms, coalesce(quantile_cont(s, 0.5), 0) AS p50_step_ms,
@@ -249,21 +240,18 @@ def a7(det):
 
 @query("a8_frame_load", "SELECT f.seq_name, f.frame_idx, (SELECT count(*) FROM gt g WHERE g.seq_name = f.seq_name AND g.frame_idx = f.frame_idx) AS num_gt, (SELECT count(*) FROM det d WHERE d.seq_name = f.seq_name AND d.frame_idx = f.frame_idx) AS num_det FROM frames f", "frames", "gt", "det")
 def a8(frames, gt, det):
-    count = lambda df, name: df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias(name))
-    rows = frames.join(count(gt, "num_gt"), ["seq_name", "frame_idx"], "left").join(count(det, "num_det"), ["seq_name", "frame_idx"], "left")
-    return rows.select(*KEYS, F.coalesce("num_gt", F.lit(0)).alias("num_gt"), F.coalesce("num_det", F.lit(0)).alias("num_det"))
+    return joins.frame_counts(frames, num_gt=gt, num_det=det)
 
 
-@query("a9_extents", "SELECT seq_name, round(min(cx) - 1, 6) AS x0, round(max(cx) + 1, 6) AS x1, round(min(cy) - 1, 6) AS y0, round(max(cy) + 1, 6) AS y1 FROM gt GROUP BY 1", "gt")
+@query("a9_extents", "SELECT seq_name, round(min(cx) - 1, 6) AS x0, round(max(cx) + 1, 6) AS x1, round(min(cy) - 1, 6) AS y0, round(max(cy) + 1, 6) AS y1, round(min(cz) - CASE WHEN max(cz) - min(cz) < 1e-6 THEN 2 ELSE 1 END, 6) AS z0, round(max(cz) + CASE WHEN max(cz) - min(cz) < 1e-6 THEN 2 ELSE 1 END, 6) AS z1 FROM gt GROUP BY 1", "gt")
 def a9(gt):
-    return gt.groupBy("seq_name").agg(r6(F.min("cx") - 1, "x0"), r6(F.max("cx") + 1, "x1"), r6(F.min("cy") - 1, "y0"), r6(F.max("cy") + 1, "y1"))
+    box = summaries.extents(gt, {"x": "cx", "y": "cy", "z": "cz"}, 1.0, 1.0, "seq_name")
+    return box.select("seq_name", *(r6(C(c), c) for c in ("x0", "x1", "y0", "y1", "z0", "z1")))
 
 
 @query("a10_id_ranks", "SELECT seq_name, track_id, round((dense_rank() OVER (PARTITION BY seq_name ORDER BY track_id) - 1) / greatest(count(*) OVER (PARTITION BY seq_name) - 1, 1), 6) AS shade FROM (SELECT DISTINCT seq_name, track_id FROM gt)", "gt")
 def a10(gt):
-    ids = gt.select("seq_name", "track_id").distinct()
-    by = tracks.W.partitionBy("seq_name")
-    return ids.select("seq_name", "track_id", F.round((F.dense_rank().over(by.orderBy("track_id")) - 1) / F.greatest(F.count(F.lit(1)).over(by) - 1, F.lit(1)), 6).alias("shade"))
+    return summaries.id_ranks(gt).withColumn("shade", F.round("shade", 6))
 
 
 LAG = "lag({0}) OVER (PARTITION BY seq_name, track_id ORDER BY frame_idx)"
@@ -274,12 +262,15 @@ def w2(gt):
     return tracks.displacement(gt).select(*KEYS, "track_id", F.round("dx", 6).alias("dx"))
 
 
-@query("w3_static_flag", "SELECT seq_name, frame_idx, track_id, n, round(sqrt(list_max(list_transform(p, lambda q: (q.x - mx) * (q.x - mx) + (q.y - my) * (q.y - my)))), 5) AS max_radius FROM (SELECT seq_name, frame_idx, track_id, list({'x': cx, 'y': cy}) OVER t AS p, CAST(count(*) OVER t AS int) AS n, avg(cx) OVER t AS mx, avg(cy) OVER t AS my FROM gt WINDOW t AS (PARTITION BY seq_name, track_id ORDER BY frame_idx ROWS BETWEEN 14 PRECEDING AND CURRENT ROW))", "gt")
+@query("w3_static_flag", "SELECT *, n >= 7 AND max_radius <= 0.305 AS is_static FROM (SELECT seq_name, frame_idx, track_id, n, round(sqrt(list_max(list_transform(p, lambda q: (q.x - mx) * (q.x - mx) + (q.y - my) * (q.y - my)))), 5) AS max_radius FROM (SELECT seq_name, frame_idx, track_id, list({'x': cx, 'y': cy}) OVER t AS p, CAST(count(*) OVER t AS int) AS n, avg(cx) OVER t AS mx, avg(cy) OVER t AS my FROM gt WINDOW t AS (PARTITION BY seq_name, track_id ORDER BY frame_idx ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)))", "gt")
 def w3(gt):
-    return tracks.static_flag(gt).select(*KEYS, "track_id", "n", F.round("max_radius", 5).alias("max_radius"))
+    return tracks.static_flag(gt, radius=0.305).select(*KEYS, "track_id", "n", F.round("max_radius", 5).alias("max_radius"), "is_static")
+
 
+SPEEDS = "SELECT seq_name, track_id, frame_idx, sqrt((cx - px) * (cx - px) + (cy - py) * (cy - py)) * 15.0 / (frame_idx - pf) AS v FROM (SELECT *, lag(cx) OVER t AS px, lag(cy) OVER t AS py, lag(frame_idx) OVER t AS pf FROM gt WINDOW t AS (PARTITION BY seq_name, track_id ORDER BY frame_idx)) WHERE pf IS NOT NULL"
 
-@query("w4_smoothed_speed", None, "gt")
+
+@query("w4_smoothed_speed", f"SELECT seq_name, track_id, CAST(count(*) AS int) AS n, round(list_reduce(list_prepend(CAST(0 AS double), list(v ORDER BY frame_idx)), lambda s, x: s + 0.3 * (x - s)), 6) AS speed FROM ({SPEEDS}) GROUP BY ALL", "gt")
 def w4(gt):
     return tracks.smoothed_speed(gt, 0.3, 15.0).withColumn("speed", F.round("speed", 6))
 
@@ -289,10 +280,19 @@ def w5(gt):
     return tracks.epochs(gt, 5).select(*KEYS, "track_id", "gap", "epoch", "epoch_id")
 
 
-@query("w6_evidence", None, "det")
-def w6(det):
-    rows = det.withColumn("track_id", C("det_id")).withColumn("evidence_in", G.evidence(C("score"), 0.4, 1.5))
-    return tracks.evidence_of(rows, "evidence_in", 0.2, 0.6).withColumn("evidence", F.round("evidence", 6))
+EVIDENCE = """SELECT seq_name, track_id, list_reduce(list_prepend({'e': CAST(0 AS double), 'h': 0, 'ok': false, 'x': CAST(NULL AS double)}, list({'e': CAST(0 AS double), 'h': 0, 'ok': false, 'x': x} ORDER BY frame_idx)),
+  lambda a, b: {'e': CASE WHEN b.x IS NULL THEN 0.9 * a.e ELSE 0.7 * a.e + 0.3 * b.x END, 'h': a.h + CASE WHEN b.x IS NULL THEN 0 ELSE 1 END,
+                'ok': a.ok OR (b.x IS NOT NULL AND a.h + 1 >= 3 AND 0.7 * a.e + 0.3 * b.x >= 0.5), 'x': b.x}) AS s
+FROM (SELECT f.seq_name, t.id AS track_id, f.frame_idx, CASE WHEN d.score IS NOT NULL THEN pow(greatest(0, least(1, (d.score - 0.4) / 0.6)), 1.5) END AS x
+      FROM frames f JOIN (SELECT seq_name, det_id AS id, min(frame_idx) AS a FROM det GROUP BY ALL) t ON f.seq_name = t.seq_name AND f.frame_idx >= t.a
+      LEFT JOIN det d ON d.seq_name = f.seq_name AND d.frame_idx = f.frame_idx AND d.det_id = t.id) GROUP BY ALL"""
+
+
+@query("w6_evidence", f"SELECT seq_name, track_id, s.h AS hits, round(s.e, 6) AS evidence, s.ok AS confirmed FROM ({EVIDENCE})", "det", "frames")
+def w6(det, frames):
+    """Detections that keep their number are a track; it decays in frames without it."""
+    rows = tracks.with_misses(det.withColumn("track_id", C("det_id")).withColumn("x", G.evidence(C("score"), 0.4, 1.5)), frames, "x")
+    return tracks.evidence_of(rows, "x", 0.3, 0.1, 0.5, 3).withColumn("evidence", F.round("evidence", 6))
 
 
 @query("w9_fresh_ids", "SELECT seq_name, frame_idx, det_id, CAST(row_number() OVER (PARTITION BY seq_name ORDER BY frame_idx, det_id) AS int) AS new_id FROM det", "det")
@@ -305,26 +305,48 @@ def w10(frames):
     return tracks.contiguous_frames(frames)
 
 
-@query("t1_track_sequences", None, "det")
-def t1(det):
+@query("t1_track_sequences", None, "det", "gt", "frames")
+def t1(det, gt, frames):
+    """Detections tracked with the help of labels; every frame is a step."""
+    return tracker.run(det, "assisted", tracker.Settings(), gt, frames)
+
+
+@query("t6_nearest_tracks", None, "det")
+def t6(det):
     return tracker.run(det, "nearest", tracker.Settings())
 
 
+@query("t3_timed_tracks", None, "det", "poses")
+def t3(det, poses):
+    """The assisted tracker without labels, on the clock of the poses."""
+    return tracker.run(det, "assisted", tracker.Settings(), None, poses.select(*KEYS, (C("timestamp_ns") * 1e-9).alias("time")))
+
+
 @query("t8_smooth_tracks", None, "gt")
 def t8(gt):
     return tracker.smooth(gt, tracker.Settings())
 
 
-@query("c7_corrupt_tracks", None, "gt")
-def c7(gt):
-    variants = corruption.resolve(corruption.EXAMPLE)
-    return corruption.corrupt(gt, variants, seed=5)
+@query("c7_corrupt_tracks", None, "gt", "det")
+def c7(gt, det):
+    """Every track under every variant, with scores drawn from a bounded sample of the detections' own."""
+    pool = summaries.score_sample(kinds(det), "tp", "fp")
+    return corruption.corrupt(gt, corruption.resolve(corruption.EXAMPLE), seed=5, pools=pool)
 
 
-@query("c2_variants", None, "frames")
+VARIANTS = [corruption.scaled(v) for v in corruption.resolve(corruption.EXAMPLE)]
+_NUMBERS = sorted(k for k, v in corruption.DEFAULTS.items() if isinstance(v, float))
+_VALUES = ", ".join("('{}', {})".format(v["name"], ", ".join(f"CAST({float(v[k])!r} AS double)" for k in _NUMBERS)) for v in VARIANTS)
+
+
+@query("c2_variants", f"SELECT n.seq_name, n.n_frames, v.* FROM (SELECT seq_name, count(*) AS n_frames FROM frames GROUP BY 1) n, (VALUES {_VALUES}) v(variant, {', '.join(_NUMBERS)})", "frames")
 def c2(frames):
-    """Each variant's settings beside the number of frames that it will be applied to."""
+    """Each variant's settings with its severity beside the number of frames that it will be applied to."""
     n = frames.groupBy("seq_name").agg(F.count(F.lit(1)).alias("n_frames"))
-    rows = [(v["name"], *(float(v[k]) for k in sorted(corruption.DEFAULTS))) for v in corruption.resolve(corruption.EXAMPLE)]
-    table = frames.sparkSession.createDataFrame(rows, "variant string, " + ", ".join(f"{k} double" for k in sorted(corruption.DEFAULTS)))
+    rows = [(v["name"], *(float(v[k]) for k in _NUMBERS)) for v in VARIANTS]
+    table = frames.sparkSession.createDataFrame(rows, "variant string, " + ", ".join(f"{k} double" for k in _NUMBERS))
     return n.withColumn("variant", F.explode(F.lit([r[0] for r in rows]))).join(F.broadcast(table), "variant")
+
+
+# queries of the other modules register themselves
+from trackloom.operators import more_queries  # noqa: E402, F401

@@ -22,10 +22,17 @@ def split_stats(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def timing(frames: DataFrame) -> DataFrame:
-    """By sequence: total, mean, fps and the nearest-rank 95th percentile, its rank rounded half to even."""
-    out = frames.groupBy("seq_name").agg(F.count(F.lit(1)).alias("n"), F.sum("step_ms").alias("total_ms"), F.sort_array(F.collect_list("step_ms")).alias("s"))
-    at = F.bround(0.95 * (F.col("n") - 1), 0).cast("int")
-    return out.select("seq_name", "n", "total_ms", (F.col("total_ms") / F.col("n")).alias("mean_ms"), (F.col("n") * 1000 / F.col("total_ms")).alias("fps"), F.get("s", at).alias("p95_ms"))
+    """By sequence: total, mean, fps and the nearest-rank 95th percentile, its rank rounded half to even.
+
+    The rank is found among counts of equal times, so a sequence is never gathered.
+    """
+    counts = frames.groupBy("seq_name", "step_ms").agg(F.count(F.lit(1)).alias("k"))
+    totals = frames.groupBy("seq_name").agg(F.count(F.lit(1)).alias("n"), F.sum("step_ms").alias("total_ms"))
+    upto = F.sum("k").over(W.partitionBy("seq_name").orderBy("step_ms"))
+    at = F.bround(0.95 * (F.col("n") - 1), 0)
+    ranked = counts.withColumn("upto", upto).join(totals, "seq_name").filter(F.col("upto") > at)
+    found = ranked.groupBy("seq_name").agg(F.min("step_ms").alias("p95_ms"))
+    return totals.join(found, "seq_name").select("seq_name", "n", "total_ms", (F.col("total_ms") / F.col("n")).alias("mean_ms"), (F.col("n") * 1000 / F.col("total_ms")).alias("fps"), "p95_ms")
 
 
 def numeric_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
@@ -60,3 +67,38 @@ def isotonic(rows: DataFrame) -> DataFrame:
     low = means.join(rows.select("bin"), (F.col("first") <= F.col("bin")) & (F.col("bin") <= F.col("last"))).groupBy("bin", "first").agg(F.min("mean").alias("m"))
     fit = low.groupBy("bin").agg(F.max("m").alias("fitted"))
     return rows.join(fit, "bin")
+
+
+def quantile_calibrator(scores: DataFrame, bins: int = 10, laplace: float = 1.0) -> DataFrame:
+    """As calibrator(), with bins of about as many scores each: their edges are quantiles of all scores."""
+    edges = scores.agg(F.percentile("score", F.lit([i / bins for i in range(1, bins)]))).first()[0] or []
+    at = sum((F.when(F.col("score") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    rows = scores.select(at.alias("bin"), "kind")
+    counts = rows.groupBy("bin").agg(F.count_if(F.col("kind") == "tp").alias("tp"), F.count_if(F.col("kind") == "fp").alias("fp"))
+    return counts.withColumn("precision", (F.col("tp") + laplace) / (F.col("tp") + F.col("fp") + 2 * laplace))
+
+
+def score_sample(scores: DataFrame, *kinds: str, most: int = 2000) -> dict[str, list[float]]:
+    """At most so many scores of each kind, chosen by a hash of their values and numbers, for drawing from."""
+    out = {}
+    for kind in kinds:
+        counts = scores.filter(F.col("kind") == kind).groupBy("score").agg(F.count(F.lit(1)).alias("k"))
+        total = counts.agg(F.sum("k")).first()[0] or 0
+        share = max(1.0, total / most)
+        rows = counts.select("score", F.ceil(F.col("k") / share).cast("int").alias("k")).orderBy(F.xxhash64("score")).limit(most).collect()
+        out[kind] = sorted(s for s, k in rows for _ in range(k))
+    return out
+
+
+def extents(rows: DataFrame, axes: dict[str, str], margin: float, padding: float, *by: str) -> DataFrame:
+    """Ends of each axis with a margin; an axis without any extent gets padding, too."""
+    agg = rows.groupBy(*by).agg(*(f(c).alias(f"{a}{e}") for a, c in axes.items() for f, e in ((F.min, 0), (F.max, 1))))
+    room = lambda a: margin + F.when(F.col(f"{a}1") - F.col(f"{a}0") < 1e-6, padding).otherwise(0.0)
+    return agg.select(*by, *((F.col(f"{a}{e}") + (2 * e - 1) * room(a)).alias(f"{a}{e}") for a in axes for e in (0, 1)))
+
+
+def id_ranks(rows: DataFrame) -> DataFrame:
+    """(seq_name, track_id, shade): the ids of each sequence, evenly spaced over [0, 1] in their order."""
+    ids = rows.select("seq_name", "track_id").distinct()
+    by = W.partitionBy("seq_name")
+    return ids.select("seq_name", "track_id", ((F.dense_rank().over(by.orderBy("track_id")) - 1) / F.greatest(F.count(F.lit(1)).over(by) - 1, F.lit(1))).alias("shade"))

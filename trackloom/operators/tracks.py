@@ -11,11 +11,19 @@ def by_track():
     return W.partitionBy("seq_name", "track_id").orderBy("frame_idx")
 
 
-def epochs(rows: DataFrame, max_gap: int, stride: int = 100_000) -> DataFrame:
-    """gap: frames since the track was last seen; epoch: rises after a gap over max_gap; epoch_id: a new id for each."""
+def epochs(rows: DataFrame, max_gap: float, stride: int = 100_000, fps: float = 1.0, static: str | None = None, static_gap: float | None = None) -> DataFrame:
+    """gap: frames since the track was last seen; epoch: rises after a gap over max_gap; epoch_id: a new id for each.
+
+    Limits are in frames, or in seconds if fps is given. static names a column that says whether a track stood still: then static_gap
+    is its limit, by its row before the gap.
+    """
     gap = F.col("frame_idx") - F.lag("frame_idx").over(by_track())
     out = rows.withColumn("gap", F.coalesce(gap, F.lit(0)))
-    out = out.withColumn("epoch", F.sum(F.when(F.col("gap") > max_gap, 1).otherwise(0)).over(by_track()))
+    limit = F.lit(float(max_gap))
+    if static is not None:
+        limit = F.when(F.lag(static).over(by_track()), float(static_gap)).otherwise(limit)
+    out = out.withColumn("late", F.when(F.col("gap") / fps > limit, 1).otherwise(0))
+    out = out.withColumn("epoch", F.sum("late").over(by_track())).drop("late")
     return out.withColumn("epoch_id", F.col("track_id") + F.col("epoch") * stride)
 
 
@@ -25,9 +33,10 @@ def displacement(rows: DataFrame) -> DataFrame:
     return rows.withColumn("dx", F.when(near, F.col("cx") - F.lag("cx").over(by_track()))).withColumn("dy", F.when(near, F.col("cy") - F.lag("cy").over(by_track())))
 
 
-def static_flag(rows: DataFrame, window: int = 15, radius: float = 0.3) -> DataFrame:
-    """Centre and largest radius of the last `window` positions; static if enough of them lie within `radius`."""
-    last = by_track().rowsBetween(1 - window, 0)
+def static_flag(rows: DataFrame, window: int = 15, radius: float = 0.3, epoch: str | None = None) -> DataFrame:
+    """Centre and largest radius of the last `window` positions; static if enough of them lie within `radius`. epoch names a column
+    that positions are forgotten by when it changes."""
+    last = W.partitionBy("seq_name", "track_id", *([epoch] if epoch else [])).orderBy("frame_idx").rowsBetween(1 - window, 0)
     rows = rows.withColumn("points", F.collect_list(F.struct("cx", "cy")).over(last))
     rows = rows.withColumn("mx", F.avg("cx").over(last)).withColumn("my", F.avg("cy").over(last))
     far = F.array_max(F.transform("points", lambda p: F.sqrt((p["cx"] - F.col("mx")) ** 2 + (p["cy"] - F.col("my")) ** 2)))
@@ -49,15 +58,25 @@ def smoothed_speed(rows: DataFrame, alpha: float, fps: float) -> DataFrame:
     return out.withColumnRenamed("state", "speed")
 
 
-def evidence_of(rows: DataFrame, score: str, rise: float, confirm: float) -> DataFrame:
-    """Evidence by track: it rises towards 1 by `rise` times the score; hits, and whether it ever reached `confirm`."""
-    start = F.struct(F.lit(0.0).alias("e"), F.lit(False).alias("ok"))
+def with_misses(rows: DataFrame, frames: DataFrame, value: str) -> DataFrame:
+    """(seq_name, frame_idx, track_id, value) of each track in every frame of its sequence from its first one on; null where it is missed."""
+    first = rows.groupBy("seq_name", "track_id").agg(F.min("frame_idx").alias("first"))
+    every = frames.select("seq_name", "frame_idx").join(first, "seq_name").filter("frame_idx >= first").drop("first")
+    return every.join(rows.select("seq_name", "frame_idx", "track_id", value), ["seq_name", "frame_idx", "track_id"], "left")
+
+
+def evidence_of(rows: DataFrame, score: str, rise: float, decay: float, confirm: float, least_hits: int) -> DataFrame:
+    """Evidence by track: a hit takes it towards its score, a miss (null) towards 0; hits, and whether it was ever confirmed: with so
+    many hits and so much evidence at once. A track's rows in one array: a row for each frame."""
+    start = F.struct(F.lit(0.0).alias("e"), F.lit(0).alias("h"), F.lit(False).alias("ok"))
 
     def step(s: Column, v: Column) -> Column:
-        e = s["e"] + (1 - s["e"]) * rise * v["v"]
-        return F.struct(e.alias("e"), (s["ok"] | (e >= confirm)).alias("ok"))
+        hit = v["v"].isNotNull()
+        e = F.when(hit, (1 - rise) * s["e"] + rise * v["v"]).otherwise((1 - decay) * s["e"])
+        h = s["h"] + F.when(hit, 1).otherwise(0)
+        return F.struct(e.alias("e"), h.alias("h"), (s["ok"] | (hit & (h >= least_hits) & (e >= confirm))).alias("ok"))
 
-    return _folded(rows, F.col(score), start, step).select("seq_name", "track_id", F.col("n").alias("hits"), F.col("state.e").alias("evidence"), F.col("state.ok").alias("confirmed"))
+    return _folded(rows, F.col(score), start, step).select("seq_name", "track_id", F.col("state.h").alias("hits"), F.col("state.e").alias("evidence"), F.col("state.ok").alias("confirmed"))
 
 
 def fresh_ids(boxes: DataFrame) -> DataFrame:
@@ -71,3 +90,14 @@ def contiguous_frames(frames: DataFrame) -> DataFrame:
 
 def warm_up(frames: DataFrame, n: int) -> DataFrame:
     return frames.withColumn("is_warmup", F.row_number().over(W.partitionBy("seq_name").orderBy("frame_idx")) <= n)
+
+
+def frame_clock(frames: DataFrame, fps: float) -> DataFrame:
+    """Seconds of each frame since its sequence's first, by its place in order."""
+    return frames.withColumn("seconds", (F.row_number().over(W.partitionBy("seq_name").orderBy("frame_idx")) - 1) / fps)
+
+
+def by_label(boxes: DataFrame) -> DataFrame:
+    """(seq_name, track_id, rows): each track's boxes in order of frames."""
+    box = F.struct("frame_idx", "cx", "cy", "cz", "l", "w", "h", "rot_z")
+    return boxes.groupBy("seq_name", "track_id").agg(F.array_sort(F.collect_list(box)).alias("rows"))

@@ -119,3 +119,11 @@ def downsampled(points: DataFrame, n: int, seed: int) -> DataFrame:
     """At most n points of each frame, chosen by a seeded hash."""
     order = W.partitionBy("seq_name", "frame_idx").orderBy(F.xxhash64(F.lit(seed), "x", "y", "z"), "x", "y", "z")
     return points.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank")
+
+
+def row_json(boxes: DataFrame, as_list: Column) -> DataFrame:
+    """boxes with `value`, each row as JSON: its box as a list or as an object, its label and score if it has them."""
+    box = F.when(as_list, F.to_json(F.array(*MEMBERS))).otherwise(F.to_json(F.struct(*MEMBERS)))
+    rest = [F.to_json(F.struct(F.col(c))) for c in ("label_id", "score") if c in boxes.columns]
+    inner = [F.regexp_extract(x, r"^\{(.*)\}$", 1) for x in rest]
+    return boxes.withColumn("value", F.concat(F.lit("{"), F.array_join(F.filter(F.array(F.concat(F.lit('"box":'), box), *inner), lambda x: x != ""), ","), F.lit("}")))
