@@ -5,7 +5,8 @@ import pytest
 
 from trackloom.functions.geometry import rectangle_overlap
 from trackloom.operators.matching import assigned_pairs
-from trackloom.streaming.tracker import CLASS_PRESET, AssistedTracker, Clock, Settings, register_tracker, run, run_info, run_stream
+from trackloom.streaming.mixture import DEFAULTS, Mixture, MixtureTracker
+from trackloom.streaming.tracker import CLASS_PRESET, Adapted, AssistedTracker, Clock, Settings, register_tracker, run, run_info, run_many, run_stream
 
 DETS = "seq_name string, frame_idx int, det_id int, cx double, cy double, cz double, l double, w double, h double, rot_z double, score double"
 LABELS = "seq_name string, frame_idx int, track_id int, cx double, cy double, cz double, l double, w double, h double, rot_z double"
@@ -277,3 +278,68 @@ def test_registry_and_contract(spark):
         run(spark.createDataFrame(two, DETS), "twice", Settings()).collect()
     assert run(spark.createDataFrame([], DETS), "assisted", Settings()).collect() == []
     assert run_info("assisted", Settings())["fps"] == "15.0"
+
+
+def test_mixture_is_three_filters_one_by_one():
+    rng, m = np.random.default_rng(6), Mixture(DEFAULTS)
+    m.add(np.array([[0.0, 0.0], [5.0, 1.0]]))
+    x, p, w = np.array([[5.0, 1, 0, 0, 0, 0]] * 3), np.array([np.diag([0.25**2] * 2 + [1.0] * 2 + [4.0] * 2)] * 3), np.array(DEFAULTS["first"])
+    switch, h = np.array(DEFAULTS["switch"]), np.eye(2, 6)
+    for k in range(25):
+        dt = 0.07
+        c = w @ switch
+        mixed = [(sum(w[i] * switch[i, j] / c[j] * x[i] for i in range(3)), j) for j in range(3)]
+        p = np.array([sum(w[i] * switch[i, j] / c[j] * (p[i] + np.outer(x[i] - mj, x[i] - mj)) for i in range(3)) for mj, j in mixed])
+        x = np.array([mj for mj, _ in mixed])
+        one = np.array([[[1, 0, 0], [0, 0.3, 0], [0, 0, 0]], [[1, dt, 0], [0, 1, 0], [0, 0, 0]], [[1, dt, dt * dt / 2], [0, 1, dt], [0, 0, 1]]])
+        for j in range(3):
+            f = np.kron(one[j], np.eye(2))
+            x[j], p[j] = f @ x[j], f @ p[j] @ f.T + np.diag(np.repeat(np.array(DEFAULTS["noise"][j]) ** 2, 2)) * dt
+        m.predict(dt)
+        if k % 4 != 3:
+            z = np.array([5 + 0.08 * k, 1 - 0.02 * k]) + rng.normal(0, 0.05, 2)
+            v = (w @ x)[2:4]
+            speed = math.hypot(*v)
+            u = v / max(speed, 1e-9)
+            r = 0.25**2 * np.eye(2) if speed < 0.15 else 0.35**2 * np.eye(2) + (0.15**2 - 0.35**2) * np.outer(u, u)
+            ll = []
+            for j in range(3):
+                y, s = z - h @ x[j], h @ p[j] @ h.T + r
+                g = p[j] @ h.T @ np.linalg.inv(s)
+                ll.append(-0.5 * (math.log(np.linalg.det(s)) + y @ np.linalg.inv(s) @ y))
+                x[j], p[j] = x[j] + g @ y, (np.eye(6) - g @ h) @ p[j]
+            w = (w @ switch) * np.exp(np.array(ll) - max(ll))
+            w /= w.sum()
+            m.update(np.array([1]), z[None])
+        assert np.allclose(m.x[1], x) and np.allclose(m.p[1], p) and np.allclose(m.weight[1], w)
+    assert m.fused()[0][1, 2] > 0.8 and w[0] < 0.2  # it goes 0.08 m a step, 1.1 m a second
+
+
+def test_mixture_tracker():
+    t, ids = MixtureTracker(Settings()), set()
+    for f, (dets, labels, time) in enumerate(scene(1)):
+        out = t.step_with_labels(f, dets, labels, time)
+        ids |= {x[0] for x in out}
+        for x in out:
+            if x[0] in labels:
+                assert math.hypot(x[1] - labels[x[0]][0], x[2] - labels[x[0]][1]) < 0.5
+    assert {0, 1, 3} <= ids and max(ids) >= Settings().false_offset
+
+
+def test_several_runs_and_adapters(spark):
+    dets, labels = rows_of(5, 20)
+    d, g = spark.createDataFrame(dets, DETS), spark.createDataFrame(labels, LABELS)
+    rows = run_many(d, {"a": ("passthrough", Settings()), "b": ("mixture", Settings())}, g).collect()
+    assert sum(r.run_name == "a" for r in rows) == len(dets) and {r.run_name for r in rows} == {"a", "b"}
+
+    def numbered(frame, rows, time):
+        return np.column_stack([np.arange(len(rows)), rows])
+
+    for layout in ("scored", "camera", "record", "row"):
+        boxes = np.array([[1.0, 2.0, 0.9, 0.6, 0.5, 1.7, 0.3, 0.8], [3.0, -2.0, 0.8, 0.7, 0.5, 1.6, 0.2, 0.4]])
+        got = Adapted(numbered, layout, layout).step(0, boxes)
+        want = boxes if layout == "scored" else np.column_stack([boxes[:, :7], np.ones(2)])
+        assert [g[0] for g in got] == [0, 1] and np.allclose([g[1:9] for g in got], want)
+    with pytest.raises(ValueError):
+        Adapted(numbered, "scored", "row").step(0, boxes)
+    assert Adapted(numbered).step(0, np.zeros((0, 8))) == []

@@ -316,6 +316,18 @@ def t6(det):
     return tracker.run(det, "nearest", tracker.Settings())
 
 
+@query("t2_mixture_tracks", None, "det", "gt", "frames")
+def t2(det, gt, frames):
+    return tracker.run(det, "mixture", tracker.Settings(), gt, frames)
+
+
+@query("t7_several_runs", None, "det", "gt", "frames")
+def t7(det, gt, frames):
+    """Several trackers over all sequences: tracks and boxes of each run."""
+    runs = {"nearest": ("nearest", tracker.Settings()), "assisted__class": ("assisted", tracker.Settings(**tracker.CLASS_PRESET)), "passthrough": ("passthrough", tracker.Settings())}
+    return tracker.run_many(det, runs, gt, frames).groupBy("run_name", "seq_name").agg(F.count_distinct("track_id").alias("tracks"), F.count(F.lit(1)).alias("boxes"))
+
+
 @query("t3_timed_tracks", None, "det", "poses")
 def t3(det, poses):
     """The assisted tracker without labels, on the clock of the poses."""
