@@ -13,8 +13,8 @@ def shingles(text, k=3):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
 
 
-def brute(rows):
-    sets = {a: shingles(b) for a, b in rows}
+def brute(rows, k=3, percent=85):
+    sets = {a: shingles(b, k) for a, b in rows}
     parent = {a: a for a in sets}
 
     def root(a):
@@ -31,7 +31,7 @@ def brute(rows):
         for b in {b for x in s for b in holders[x]}:
             if a < b and (a, b) not in tested:
                 tested.add((a, b))
-                if 100 * len(s & sets[b]) >= 85 * len(s | sets[b]):
+                if 100 * len(s & sets[b]) >= percent * len(s | sets[b]):
                     x, y = sorted((root(a), root(b)))
                     parent[y] = x
     return sorted((a, len(s), root(a)) for a, s in sets.items())
