@@ -50,5 +50,5 @@ def test_query(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in rows)
     held = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
     caught = [p for p, y in held if y == 1]
-    assert sum(caught) / len(caught) > 0.4  # a few hundred toxic rows with many rare stems
+    assert sum(caught) / len(caught) > 0.65  # a few hundred toxic rows with many rare stems
     assert sum(p for p, y in held if y == 0) / len(held) < 0.01

@@ -122,22 +122,8 @@ class Model:
         return np.where(np.diff(bags.places) > 0, score, self.empty)
 
 
-def first_guess(batches: list[Bags], ranges: list[tuple[int, int]], toxic: np.ndarray) -> np.ndarray:
-    """Where training starts: the log odds of each n-gram in the texts of both classes, shrunk to 0 if it is rare."""
-    seen = np.zeros((2, TABLE))
-    for bags, (a, b) in zip(batches, ranges):
-        for i, label in enumerate(toxic[a:b].astype(int)):
-            words = slice(bags.places[i], bags.places[i + 1])
-            if words.stop > words.start:
-                low, high = bags.starts[words.start] - 1, bags.ends[words.stop - 1] + 1
-                seen[label][np.unique(np.concatenate([bags.whole[words], *(g[low:high] for g in bags.grams)]))] += 1
-    rows = np.array([[(toxic == 0).sum()], [(toxic == 1).sum()]])
-    share = (seen + 1) / (rows + 2)
-    return np.log(share[1] / share[0]) * (seen.sum(axis=0) / (seen.sum(axis=0) + 3))
-
-
 def trained(texts: pa.Array, toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Embeddings and softmax by Adagrad. The neighbourhoods of a text share its gradient by a softmax over them, which
+    """Embeddings and softmax, from random ones, together by Adagrad. The neighbourhoods of a text share its gradient by a softmax over them, which
     sharpens until the most toxic ones have it alone. With one class only, every score is 0 or 1."""
     if len(set(toxic.tolist())) < 2:
         constant = float(toxic[0]) if len(toxic) else 0.0
@@ -151,8 +137,6 @@ def trained(texts: pa.Array, toxic: np.ndarray, epochs: int = EPOCHS, seed: int
     weight = np.where(toxic == 1, 0.5 / (toxic == 1).mean(), 0.5 / (toxic == 0).mean())  # both labels weigh alike
     ranges = list(chunks(offsets, int(offsets[-1] - offsets[0]) // BATCHES + 1))
     batches = [Bags(data, offsets[a : b + 1]) for a, b in ranges]
-    softmax[0] = -1.0, 1.0
-    table[:, 0] = first_guess(batches, ranges, toxic)
     for epoch in range(epochs):
         sharp = 1.0 + epoch
         for i in rng.permutation(len(batches)):
