@@ -11,6 +11,8 @@ from trackloom.llm.decontaminate import op7_benchmark_decontamination
 from trackloom.llm.fingerprints import op10_document_fingerprints
 from trackloom.llm.licenses import op4_license_scans
 from trackloom.llm.lines import op6_line_dedup
+from trackloom.llm.merkle import SQL as MERKLE_SQL
+from trackloom.llm.merkle import op13_merkle_manifest
 from trackloom.llm.packing import op8_best_fit_packing
 from trackloom.llm.setsketch import op9_minhash_near_dedup
 from trackloom.llm.suffixes import op5_suffix_array_dedup
@@ -30,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filters": URLS_SQL, "op7_benchmark_decontamination": DECONTAMINATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": URLS_SQL, "op7_benchmark_decontamination": DECONTAMINATE_SQL, "op13_merkle_manifest": MERKLE_SQL}
