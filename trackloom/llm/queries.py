@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.llm.automaton import op11_bpe_automaton
 from trackloom.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from trackloom.llm.decontaminate import op7_benchmark_decontamination
 from trackloom.llm.fingerprints import op10_document_fingerprints
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_bpe_automaton": op11_bpe_automaton,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
