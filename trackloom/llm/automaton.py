@@ -6,9 +6,9 @@ no arc v, so that u is no longer followed by v, and whoever has an arc u gets an
 of a token have the same target, which so stands for the token, and a copy differs from what it was copied from
 by the arc that it lost. That is all that is held: for each state the merge that made it, and what it is a copy of.
 
-A word is encoded by its beginnings: each of them is left by the merges as one row of tokens, and that of a longer one goes on with the one arc that its
-bytes and the state after a shorter one allow. So every byte of a word is looked at with the tokens that end there, whatever the merges.
-Arcs that were asked for are kept in a table, and words with their ids, so that most of a text is looked up. Decoding goes
+A word is encoded by going along arcs whose labels it begins with, the longest first, and back where none goes on. The merges leave each beginning
+of a word as one row of tokens, so each place in it is reached by one path only, and a place that leads nowhere is left for good: the steps are at most
+as many as bytes times lengths of tokens. Arcs that were asked for are kept in a table, and words with their ids, so that most of a text is looked up. Decoding goes
 along the arcs again and emits their labels.
 """
 
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words, and arcs, that a Python worker keeps; then it starts anew.
-KNOWN = 500_000
+#: Words, and arcs, that a Python worker keeps; then those that were not asked for since as many others came go.
+KNOWN = 300_000
 #: Characters of the longest word that is kept.
 KEPT = 64
 #: The split of words before merges, which files of this kind imply.
@@ -39,7 +39,6 @@ class Automaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         """labels: the bytes of each token; merges: (u, v, uv) in order. Each token is a byte or made by one merge."""
         self.labels = labels
-        self.of_label = {label: t for t, label in labels.items()}
         self.made = {t: -1 for t, label in labels.items() if len(label) == 1}
         self.left: dict[int, int] = {}
         self.alive = set(self.made)  # tokens that have arcs
@@ -52,7 +51,13 @@ class Automaton:
         for i, (u, v, uv) in enumerate(merges):
             self.gadget(i, u, v, uv)
         self.arcs.clear()
-        self.longest = max((len(labels[t]) for t in self.alive), default=1)
+        self.of_label = {label: t for t, label in labels.items() if t in self.alive}
+        self.leads = {t: self.state(t) for t in self.alive}
+        # by their first two bytes, how long tokens can be, longest first
+        found: dict[bytes, set[int]] = {}
+        for label in self.of_label:
+            found.setdefault(label[:2], {1}).add(len(label))
+        self.lengths = {start: tuple(sorted(x, reverse=True)) for start, x in found.items()}
 
     def state(self, token: int) -> int:
         """Where all arcs of a token lead."""
@@ -103,22 +108,30 @@ class Automaton:
     def encode(self, word: bytes) -> list[int]:
         """The one accepted row of tokens whose labels make up the word."""
         whole = self.of_label.get(word)
-        if whole in self.alive:
+        if whole is not None:
             return [whole]
-        last = [-1] * (len(word) + 1)  # of each beginning the last token
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.of_label.get(word[start:end])
-                if token is not None and self.has_arc(self.state(last[start]) if start else 0, token):
-                    last[end] = token
+        n, tokens, steps, failed = len(word), [], [], set()
+        at, state, lengths = 0, 0, iter(self.lengths.get(word[:2], (1,)))
+        while at < n:
+            for length in lengths:
+                end = at + length
+                if end > n or end in failed:
+                    continue
+                token = self.of_label.get(word[at:end])
+                if token is None:
+                    continue
+                arc = self.arcs.get((state, token))
+                if arc or arc is None and self.has_arc(state, token):
+                    steps.append((at, state, lengths)), tokens.append(token)
+                    at, state, lengths = end, self.leads[token], iter(self.lengths.get(word[end : end + 2], (1,)))
                     break
             else:
-                raise ValueError(f"no token for byte {word[end - 1]}")
-        out, end = [], len(word)
-        while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
+                # no row of tokens goes on from here, whatever follows; only one leads here, so nothing else has to come back
+                failed.add(at)
+                if not steps:
+                    raise ValueError(f"no tokens for {word[:40]!r}")
+                (at, state, lengths), _ = steps.pop(), tokens.pop()
+        return tokens
 
 
 class ByteTokenizer:
@@ -148,12 +161,13 @@ class ByteTokenizer:
         self.special = regex.compile("(" + "|".join(regex.escape(w) for w in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.special_ids = {w: np.array([t], "<u4").tobytes() for w, t in special.items()}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
-        found = np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
+        found = self.older.get(word) or np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
         if len(word) <= KEPT:
             if len(self.known) >= KNOWN:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = found
         return found
 
@@ -164,8 +178,7 @@ class ByteTokenizer:
             if i % 2:
                 out.append(self.special_ids[part])
             else:
-                known = self.known.get
-                out += [known(w) or self.word(w) for w in self.words.findall(part)]
+                out += [self.known.get(w) or self.word(w) for w in self.words.findall(part)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
