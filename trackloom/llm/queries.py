@@ -21,6 +21,7 @@ from trackloom.llm.substring import op3_substring_dedup
 from trackloom.llm.toxicity import op1_toxicity
 from trackloom.llm.urls import SQL as URLS_SQL
 from trackloom.llm.urls import op2_url_filters
+from trackloom.llm.whitening import op12_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_bpe_automaton": op11_bpe_automaton,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
