@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from trackloom.llm.common import dropped, small, stored
 
 #: Leaves of a block, as a power of two, and levels that a row of the climb ascends.
-BITS, STRIDE = 10, 5
+BITS, STRIDE = 10, 8
 
 _STEP = "struct<hash: binary, left: boolean>"
 
@@ -128,17 +128,17 @@ def node_rows(blocks: DataFrame, up: DataFrame, stride: int) -> tuple[DataFrame,
     return leaves, joined.select("tree", "block", F.explode(inner).alias("x")).select("tree", "block", "x.*")
 
 
-#: One step up: the hash folded with the siblings, and those appended.
-_FOLD = "aggregate({n}.siblings, {hash}, (x, s) -> sha2(CASE WHEN s.hash IS NULL THEN x WHEN s.left THEN concat(lower(hex(s.hash)), x) ELSE concat(x, lower(hex(s.hash))) END, 256))"
+#: One step up: the hash folded with the siblings, and those appended. Hashes travel as 32 bytes.
+_FOLD = "unhex(aggregate({n}.siblings, lower(hex({hash})), (x, s) -> sha2(CASE WHEN s.hash IS NULL THEN x WHEN s.left THEN concat(lower(hex(s.hash)), x) ELSE concat(x, lower(hex(s.hash))) END, 256)))"
 _APPEND = "aggregate({n}.siblings, {proof}, (x, s) -> concat(x, coalesce(s.hash, X'')))"
 CLIMB = f"""
 WITH RECURSIVE climb(doc_id, leaf, tree, block, up_height, up_idx, folded, proof) AS (
-  SELECT l.doc_id, l.hash, l.tree, l.block, l.up_height, l.up_idx, {_FOLD.format(n='l', hash='l.start')}, {_APPEND.format(n='l', proof="X''")} FROM {{leaves}} l
+  SELECT l.doc_id, l.leaf, l.tree, l.block, l.up_height, l.up_idx, {_FOLD.format(n='l', hash='l.start')}, {_APPEND.format(n='l', proof="X''")} FROM {{leaves}} l
   UNION ALL
   SELECT c.doc_id, c.leaf, c.tree, c.block, n.up_height, n.up_idx, {_FOLD.format(n='n', hash='c.folded')}, {_APPEND.format(n='n', proof='c.proof')}
   FROM climb c JOIN {{nodes}} n ON c.tree = n.tree AND c.block = n.block AND c.up_height = n.height AND c.up_idx = n.idx
 )
-SELECT doc_id, leaf, tree, folded, sha2(lower(hex(proof)), 256) AS proof_sha256 FROM climb WHERE up_height IS NULL
+SELECT doc_id, lower(hex(leaf)) AS leaf, tree, lower(hex(folded)) AS folded, sha2(lower(hex(proof)), 256) AS proof_sha256 FROM climb WHERE up_height IS NULL
 """
 
 
@@ -174,7 +174,7 @@ def manifest(leaves: DataFrame, bits: int = BITS, stride: int = STRIDE, parts: i
     ends = above[0].join(over.withColumnRenamed("pos", "block"), ["tree", "block"])
     ends = ends.select(F.explode(F.transform("rows", lambda r, j: F.struct(r["lang_tree"].alias("tree"), F.concat(inside(j), F.coalesce("path", none)).alias("path")))).alias("x")).select("x.*")
     leaf_rows, inner = node_rows(rounds[0], paths(rounds, stored(ends)), stride)
-    leaf_rows = stored(leaf_rows.select("tree", "block", "up_height", "up_idx", "siblings", "leaf.hash", "leaf.doc_id", "leaf.start"))
+    leaf_rows = stored(leaf_rows.select("tree", "block", "up_height", "up_idx", "siblings", F.unhex("leaf.hash").alias("leaf"), "leaf.doc_id", F.unhex("leaf.start").alias("start")))
     inner = stored(inner)
     limits = {k: spark.conf.get(k, None) for k in ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")}
     try:
