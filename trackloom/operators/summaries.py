@@ -6,38 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.operators.quantiles import at_ranks, quantiles, with_quantiles
+
 
 def run_stats(frames: DataFrame) -> DataFrame:
     """By sequence: frames, total seconds, frames a second and step times without warm-up; 0 instead of null."""
     step = F.when(~F.col("is_warmup"), F.col("step_ms"))
-    p = lambda q: F.coalesce(F.percentile(step, F.lit(q)), F.lit(0.0))
-    out = frames.groupBy("seq_name").agg(F.count(F.lit(1)).alias("num_frames"), F.coalesce(F.sum(step) / 1000, F.lit(0.0)).alias("total_time_s"), F.count(step).alias("timed"), F.coalesce(F.avg(step), F.lit(0.0)).alias("mean_step_ms"), p(0.5).alias("p50_step_ms"), p(0.9).alias("p90_step_ms"), p(0.99).alias("p99_step_ms"))
+    out = frames.groupBy("seq_name").agg(F.count(F.lit(1)).alias("num_frames"), F.coalesce(F.sum(step) / 1000, F.lit(0.0)).alias("total_time_s"), F.count(step).alias("timed"), F.coalesce(F.avg(step), F.lit(0.0)).alias("mean_step_ms"))
+    wanted = {"p50_step_ms": 0.5, "p90_step_ms": 0.9, "p99_step_ms": 0.99}
+    out = with_quantiles(out, frames.select("seq_name", step.alias("step_ms")), "step_ms", ["seq_name"], wanted).fillna(0.0, list(wanted))
     return out.withColumn("fps", F.when(F.col("total_time_s") > 0, F.col("timed") / F.col("total_time_s")).otherwise(0.0)).drop("timed")
 
 
 def split_stats(runs: DataFrame, *by: str) -> DataFrame:
     """By split: fps over sequences and weighted by frames, means of step times."""
     weighted = F.sum("num_frames") / (F.sum(F.col("num_frames") * F.col("mean_step_ms")) / 1000)
-    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("num_sequences"), F.avg("fps").alias("fps_mean"), F.percentile("fps", F.lit(0.5)).alias("fps_median"), F.min("fps").alias("fps_min"), F.max("fps").alias("fps_max"), weighted.alias("fps_weighted"), F.avg("mean_step_ms").alias("step_mean"), F.percentile("mean_step_ms", F.lit(0.9)).alias("step_p90"), F.avg("p99_step_ms").alias("p99_mean"))
+    out = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("num_sequences"), F.avg("fps").alias("fps_mean"), F.min("fps").alias("fps_min"), F.max("fps").alias("fps_max"), weighted.alias("fps_weighted"), F.avg("mean_step_ms").alias("step_mean"), F.avg("p99_step_ms").alias("p99_mean"))
+    out = with_quantiles(out, runs, "fps", by, {"fps_median": 0.5})
+    return with_quantiles(out, runs, "mean_step_ms", by, {"step_p90": 0.9})
 
 
 def timing(frames: DataFrame) -> DataFrame:
-    """By sequence: total, mean, fps and the nearest-rank 95th percentile, its rank rounded half to even.
-
-    The rank is found among counts of equal times, so a sequence is never gathered.
-    """
-    counts = frames.groupBy("seq_name", "step_ms").agg(F.count(F.lit(1)).alias("k"))
+    """By sequence: total, mean, fps and the nearest-rank 95th percentile, its rank rounded half to even."""
     totals = frames.groupBy("seq_name").agg(F.count(F.lit(1)).alias("n"), F.sum("step_ms").alias("total_ms"))
-    upto = F.sum("k").over(W.partitionBy("seq_name").orderBy("step_ms"))
-    at = F.bround(0.95 * (F.col("n") - 1), 0)
-    ranked = counts.withColumn("upto", upto).join(totals, "seq_name").filter(F.col("upto") > at)
-    found = ranked.groupBy("seq_name").agg(F.min("step_ms").alias("p95_ms"))
+    found = at_ranks(frames, "step_ms", ["seq_name"], {"p95_ms": F.bround(0.95 * (F.col("_n") - 1), 0)}).drop("_n")
     return totals.join(found, "seq_name").select("seq_name", "n", "total_ms", (F.col("total_ms") / F.col("n")).alias("mean_ms"), (F.col("n") * 1000 / F.col("total_ms")).alias("fps"), "p95_ms")
 
 
 def numeric_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    p = lambda q: F.percentile(value, F.lit(q))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), p(0.05).alias("p05"), p(0.5).alias("p50"), p(0.95).alias("p95"))
+    out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    return with_quantiles(out, rows, value, by, {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
 
 def tp_fp_counts(scores: DataFrame) -> DataFrame:
@@ -71,7 +69,8 @@ def isotonic(rows: DataFrame) -> DataFrame:
 
 def quantile_calibrator(scores: DataFrame, bins: int = 10, laplace: float = 1.0) -> DataFrame:
     """As calibrator(), with bins of about as many scores each: their edges are quantiles of all scores."""
-    edges = scores.agg(F.percentile("score", F.lit([i / bins for i in range(1, bins)]))).first()[0] or []
+    wanted = {f"q{i}": i / bins for i in range(1, bins)}
+    edges = (quantiles(scores, "score", [], wanted).first() or []) if wanted else []  # one row
     at = sum((F.when(F.col("score") >= e, 1).otherwise(0) for e in edges), F.lit(0))
     rows = scores.select(at.alias("bin"), "kind")
     counts = rows.groupBy("bin").agg(F.count_if(F.col("kind") == "tp").alias("tp"), F.count_if(F.col("kind") == "fp").alias("fp"))
