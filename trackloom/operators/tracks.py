@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.operators.scans import affine_scan, running_count
+
 
 def by_track():
     return W.partitionBy("seq_name", "track_id").orderBy("frame_idx")
@@ -44,18 +46,12 @@ def static_flag(rows: DataFrame, window: int = 15, radius: float = 0.3, epoch: s
     return rows.withColumn("is_static", (F.col("n") >= max(3, window // 2)) & (F.col("max_radius") <= radius))
 
 
-def _folded(rows: DataFrame, values: Column, start: Column, step) -> DataFrame:
-    """One row for each track: a recurrence over its rows in order."""
-    lists = rows.groupBy("seq_name", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", values.alias("v")))).alias("v"))
-    return lists.select("seq_name", "track_id", F.size("v").alias("n"), F.aggregate("v", start, step).alias("state"))
-
-
 def smoothed_speed(rows: DataFrame, alpha: float, fps: float) -> DataFrame:
-    """The exponential mean of each track's speed at its last row, in metres a second; gaps count with their length."""
-    rows = rows.withColumn("before", F.lag(F.struct("frame_idx", "cx", "cy")).over(by_track()))
+    """The exponential mean of each track's speed at its last row, in metres a second; gaps count with their length. A track of one row has none."""
+    rows = rows.withColumn("before", F.lag(F.struct("frame_idx", "cx", "cy")).over(by_track())).filter("before is not null")
     speed = F.sqrt((F.col("cx") - F.col("before.cx")) ** 2 + (F.col("cy") - F.col("before.cy")) ** 2) * fps / (F.col("frame_idx") - F.col("before.frame_idx"))
-    out = _folded(rows.filter("before is not null"), speed, F.lit(0.0), lambda s, v: s + alpha * (v["v"] - s))
-    return out.withColumnRenamed("state", "speed")
+    states = affine_scan(rows, F.lit(1 - alpha), alpha * speed)
+    return states.groupBy("seq_name", "track_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max_by("state", "frame_idx").alias("speed"))
 
 
 def with_misses(rows: DataFrame, frames: DataFrame, value: str) -> DataFrame:
@@ -67,16 +63,12 @@ def with_misses(rows: DataFrame, frames: DataFrame, value: str) -> DataFrame:
 
 def evidence_of(rows: DataFrame, score: str, rise: float, decay: float, confirm: float, least_hits: int) -> DataFrame:
     """Evidence by track: a hit takes it towards its score, a miss (null) towards 0; hits, and whether it was ever confirmed: with so
-    many hits and so much evidence at once. A track's rows in one array: a row for each frame."""
-    start = F.struct(F.lit(0.0).alias("e"), F.lit(0).alias("h"), F.lit(False).alias("ok"))
-
-    def step(s: Column, v: Column) -> Column:
-        hit = v["v"].isNotNull()
-        e = F.when(hit, (1 - rise) * s["e"] + rise * v["v"]).otherwise((1 - decay) * s["e"])
-        h = s["h"] + F.when(hit, 1).otherwise(0)
-        return F.struct(e.alias("e"), h.alias("h"), (s["ok"] | (hit & (h >= least_hits) & (e >= confirm))).alias("ok"))
-
-    return _folded(rows, F.col(score), start, step).select("seq_name", "track_id", F.col("state.h").alias("hits"), F.col("state.e").alias("evidence"), F.col("state.ok").alias("confirmed"))
+    many hits and so much evidence at once. Both run along the track in blocks of frames."""
+    hit = F.col(score).isNotNull()
+    states = affine_scan(rows, F.when(hit, 1 - rise).otherwise(1 - decay), F.when(hit, rise * F.col(score)).otherwise(0.0), into="evidence")
+    states = running_count(states, hit, "hits")
+    ok = F.max(hit & (F.col("hits") >= least_hits) & (F.col("evidence") >= confirm))
+    return states.groupBy("seq_name", "track_id").agg(F.max("hits").cast("int").alias("hits"), F.max_by("evidence", "frame_idx").alias("evidence"), ok.alias("confirmed"))
 
 
 def fresh_ids(boxes: DataFrame) -> DataFrame:
