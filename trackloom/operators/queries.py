@@ -361,4 +361,4 @@ def c2(frames):
 
 
 # queries of the other modules register themselves
-from trackloom.operators import more_queries  # noqa: E402, F401
+from trackloom.operators import graph_queries, more_queries  # noqa: E402, F401

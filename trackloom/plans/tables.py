@@ -69,4 +69,6 @@ def with_sql(query: str, *names: str) -> str:
     chain = {"gt": ("base",), "det": ("base",), "frames": ("base",), "poses": ("base", "frames")}
     order = dict.fromkeys(t for n in names for t in (*chain.get(n, ()), n))
     ctes = ", ".join(f"{t} AS ({TABLES[t].format(string='varchar', div='//')})" for t in order)
+    if query.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {query[15:]}"
     return f"WITH {ctes}, {query[5:]}" if query.startswith("WITH ") else f"WITH {ctes} {query}"
