@@ -14,7 +14,7 @@ from trackloom.functions.geometry import export_axes, import_axes
 DETECTION_KEYS = ("detections", "dets", "predictions")
 LABEL_KEYS = ("labels", "annotations", "frames", "data")
 MEMBERS = ("cx", "cy", "cz", "l", "w", "h", "rot_z")
-_ENTRY = "map<string, array<struct<box: string, label_id: string, track_id: bigint, score: double, file_id: string>>>"
+_ENTRIES = "array<struct<box: string, label_id: string, track_id: bigint, score: double, file_id: string>>"
 
 
 def frame_number(frame_id: Column) -> Column:
@@ -51,7 +51,16 @@ def parse_boxes(docs: DataFrame, keys: Sequence[str] = DETECTION_KEYS, mode: str
     """docs(seq_name, value), one JSON text for each sequence, as rows of boxes; a frame without boxes gives one row
     without a box, so that it isn't lost. The first of the keys that holds an object wins, else the text itself."""
     held = F.coalesce(*(F.get_json_object("value", f"$.{k}") for k in keys), F.col("value"))
-    frames = docs.select("seq_name", F.explode(F.from_json(held, _ENTRY)).alias("frame_id", "entries"))
+    frames = docs.select("seq_name", F.explode(F.from_json(held, f"map<string, {_ENTRIES}>")).alias("frame_id", "entries"))
+    return _boxes(frames, mode)
+
+
+def boxes_of(frames: DataFrame, mode: str = "unknown") -> DataFrame:
+    """The same of frames(seq_name, frame_id, value), a frame's list as JSON text each."""
+    return _boxes(frames.select("seq_name", "frame_id", F.from_json("value", _ENTRIES).alias("entries")), mode)
+
+
+def _boxes(frames: DataFrame, mode: str) -> DataFrame:
     rows = frames.select("seq_name", "frame_id", F.posexplode_outer("entries").alias("det_pos", "e"))
     label, number = label_parts(F.col("e.label_id"), mode)
     box = box_of(F.col("e.box"))
