@@ -45,12 +45,12 @@ class WordIds(dict):
     def encoded(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not known. They are kept for later texts, if they are not too many for that; what was known goes when it is."""
         # a comma or full stop after a letter is a token of its own
         stems = {w: w[:-1] if len(w) > 1 and w[-1] in self.marks and 97 <= w[-2] <= 122 else w for w in words}
-        new = [w for w in dict.fromkeys(stems.values()) if w not in self]
+        found = {w: self[w] for w in stems.values() if w in self}
+        new = [w for w in dict.fromkeys(stems.values()) if w not in found]
         groups = [new[at : at + 200] for at in range(0, len(new), 200)]
         alone = {w for w in new if self.BETWEEN in w or self.SPECIAL in w}
         groups = [[w for w in g if w not in alone] for g in groups] + [[w] for w in new if w in alone]
@@ -59,10 +59,15 @@ class WordIds(dict):
             ends = [*(np.flatnonzero(ids == self.between) if len(group) > 1 else ()), len(ids)]
             raw, start = ids.tobytes(), 0
             for word, end in zip(group, ends):
-                self[word], start = raw[4 * start : 4 * end], end + 1
+                found[word], start = raw[4 * start : 4 * end], end + 1
         for word, stem in stems.items():
             if word is not stem:
-                self[word] = self[stem] + self.marks[word[-1]]
+                found[word] = found[stem] + self.marks[word[-1]]
+        if len(self) + len(found) > KNOWN_WORDS:
+            self.clear()
+        if len(found) <= KNOWN_WORDS:
+            self.update(found)
+        return found
 
     def ids(self, text: str) -> bytes:
         data = text.encode()
@@ -71,9 +76,9 @@ class WordIds(dict):
         else:
             words = data.split()
         parts = list(map(self.get, words))
-        while None in parts:  # twice if learning cleared older words
-            self.learn(list({w for w, p in zip(words, parts) if p is None}))
-            parts = list(map(self.get, words))
+        if None in parts:
+            found = self.learn(list({w for w, p in zip(words, parts) if p is None}))
+            parts = [found[w] if p is None else p for w, p in zip(words, parts)]
         return b"".join(parts)
 
 
