@@ -16,9 +16,12 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary folder of this session."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a temporary one; on a cluster that is an error, as its
+    machines would each write to their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
