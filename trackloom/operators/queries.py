@@ -346,19 +346,5 @@ def c7(gt, det):
     return corruption.corrupt(gt, corruption.resolve(corruption.EXAMPLE), seed=5, pools=pool)
 
 
-VARIANTS = [corruption.scaled(v) for v in corruption.resolve(corruption.EXAMPLE)]
-_NUMBERS = sorted(k for k, v in corruption.DEFAULTS.items() if isinstance(v, float))
-_VALUES = ", ".join("('{}', {})".format(v["name"], ", ".join(f"CAST({float(v[k])!r} AS double)" for k in _NUMBERS)) for v in VARIANTS)
-
-
-@query("c2_variants", f"SELECT n.seq_name, n.n_frames, v.* FROM (SELECT seq_name, count(*) AS n_frames FROM frames GROUP BY 1) n, (VALUES {_VALUES}) v(variant, {', '.join(_NUMBERS)})", "frames")
-def c2(frames):
-    """Each variant's settings with its severity beside the number of frames that it will be applied to."""
-    n = frames.groupBy("seq_name").agg(F.count(F.lit(1)).alias("n_frames"))
-    rows = [(v["name"], *(float(v[k]) for k in _NUMBERS)) for v in VARIANTS]
-    table = frames.sparkSession.createDataFrame(rows, "variant string, " + ", ".join(f"{k} double" for k in _NUMBERS))
-    return n.withColumn("variant", F.explode(F.lit([r[0] for r in rows]))).join(F.broadcast(table), "variant")
-
-
 # queries of the other modules register themselves
-from trackloom.operators import graph_queries, more_queries  # noqa: E402, F401
+from trackloom.operators import graph_queries, more_queries, run_queries  # noqa: E402, F401

@@ -47,10 +47,15 @@ def calibrator(scores: DataFrame, bins: int = 20, laplace: float = 1.0) -> DataF
     """scores(kind, score in [0, 1]): uniform bins with smoothed precision; an empty bin has the base rate."""
     at = F.least(F.floor(F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     counts = scores.groupBy(at.alias("bin")).agg(F.count_if(F.col("kind") == "tp").alias("tp"), F.count_if(F.col("kind") == "fp").alias("fp"))
-    every = scores.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return calibrated(counts, bins, laplace)
+
+
+def calibrated(counts: DataFrame, bins: int, laplace: float) -> DataFrame:
+    """counts(bin, tp, fp) with all bins and their precision; null if nothing was counted at all."""
+    every = counts.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     rows = every.join(counts, "bin", "left").select("bin", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"))
     all_ = W.partitionBy()  # as many rows as bins
-    base = F.sum("tp").over(all_) / F.sum(F.col("tp") + F.col("fp")).over(all_)
+    base = F.try_divide(F.sum("tp").over(all_), F.sum(F.col("tp") + F.col("fp")).over(all_))
     n = F.col("tp") + F.col("fp")
     return rows.withColumn("precision", F.when(n == 0, base).otherwise((F.col("tp") + laplace) / (n + 2 * laplace)))
 

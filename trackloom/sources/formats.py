@@ -125,8 +125,9 @@ def read_frame_stats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def downsampled(points: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n points of each frame, chosen by a seeded hash."""
-    order = W.partitionBy("seq_name", "frame_idx").orderBy(F.xxhash64(F.lit(seed), "x", "y", "z"), "x", "y", "z")
+    """At most n points of each frame, chosen by a seeded digest of their places in micrometres."""
+    micro = [F.round(F.col(c) * 1_000_000).cast("long").cast("string") for c in "xyz"]
+    order = W.partitionBy("seq_name", "frame_idx").orderBy(F.md5(F.concat_ws(" ", F.lit(str(seed)), *micro)), "x", "y", "z")
     return points.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank")
 
 

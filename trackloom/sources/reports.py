@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -41,6 +42,17 @@ def manifest(variants: DataFrame, seed: int, *by: str) -> DataFrame:
     return variants.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("variants")).select(*by, F.to_json(F.struct(F.lit(seed).alias("seed"), "variants")).alias("value"))
 
 
+def read_spec(spark: SparkSession, path: str) -> dict:
+    """A spec of variants from a file of JSON, or of YAML where its library is installed. A spec is a few settings, for the driver."""
+    (row,) = spark.read.text(path, wholetext=True).limit(2).collect()
+    try:
+        return json.loads(row["value"])
+    except json.JSONDecodeError:
+        import yaml
+
+        return yaml.safe_load(row["value"])
+
+
 def variant_names(docs: DataFrame) -> DataFrame:
     """The names of the variants that manifests list."""
     keys = [c for c in docs.columns if c != "value"]
