@@ -17,21 +17,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): of each id in edges(a, b), the smallest id that it reaches.
 
     Alternating large-star and small-star steps, each an aggregation and a join, until the edges stay the same.
-    A node with very many neighbours is spread over tasks: its neighbours are never gathered.
+    What an aggregation finds is stored before it is joined, so that the edges are one side of a join of two exchanges, in which Spark
+    splits a node with very many neighbours over tasks; they are never gathered.
     """
     now = stored(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct())
     before = None
     while True:
         # large star: every larger neighbour of u goes to the smallest around u
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: every smaller neighbour of u, and u, go to the smallest around u
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        dropped(least)
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = stored(small.filter("u <> v").distinct())
         state = small.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(now), dropped(large)
+        dropped(now), dropped(large), dropped(least)
         now = small
         if state == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

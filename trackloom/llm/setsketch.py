@@ -131,7 +131,8 @@ def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, id_col:
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     rows = stored(sketches(docs, k))
-    classes = rows.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
+    # stored, so that the rows of a set with very many copies can be split where they are joined with it
+    classes = stored(rows.filter("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
     found = rows.filter("n > 0 and id is not null").join(classes, ["d1", "d2", "n"])
     member = stored(found.select("id", "rep"))
     reps = found.filter("id = rep").groupBy("id").agg(F.min(F.struct("h", "n", "sketch")).alias("x"))
