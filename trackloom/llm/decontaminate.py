@@ -8,7 +8,8 @@ registers are the least of its blocks'. A window and an item that agree in a reg
 verified by the exact share of the item's shingles in the document around the window.
 
 Items of up to BLOCK shingles are too small a part of any window: they have their shingles as keys instead. A document with
-CONTAINED of them has at least one of any n - CONTAINED n + 1, so those of the item that many are joined with all of the document's.
+CONTAINED of them has at least one of any n - CONTAINED n + 1, so those of the item that many are joined with all of the document's: the ones
+that the fewest items have, so that a stem which many items share brings no document to all of them.
 
 Registers are the least of hash XOR mask, for a mask by register. All of it is built-in functions.
 """
@@ -106,6 +107,15 @@ def windows(blocks: Column, sizes: list[int]) -> Column:
     return some(blocks, 1)
 
 
+def rare_shingles(items: DataFrame, share: float) -> DataFrame:
+    """(item, size, register, value): so many shingles of each item that a document with `share` of all has one of them, those that the fewest items have."""
+    rows = items.select(F.xxhash64("item").alias("item"), F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("k"))
+    lists = rows.join(counts, "value").groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("s"))  # BLOCK at most
+    some = F.slice("s", F.lit(1), F.floor(F.col("n") * (1 - share) + 1e-9).cast("int") + 1)
+    return stored(lists.select("item", F.lit(SMALL).alias("size"), F.lit(0).alias("register"), F.explode(some).alias("x")).select("item", "size", "register", "x.value"))
+
+
 def contained(documents: DataFrame, benchmark: DataFrame, share: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found): documents with at least `share` of a test item's distinct shingles.
 
@@ -120,9 +130,8 @@ def contained(documents: DataFrame, benchmark: DataFrame, share: float = CONTAIN
         return items.join(documents.select(F.col(id_col).alias("doc_id")).limit(0)).select("doc_id", "item_id", F.lit(0).alias("n_shingles"), F.lit(0).alias("n_found"))
     register_of = F.when(F.col("size") == SMALL, 0).otherwise(F.col("register"))  # a shingle has no place
     few = small(items.select("item_id", F.array_join("hashes", ",")), FEW_ROWS, FEW_BYTES)
-    some = F.slice("hashes", F.lit(1), F.floor(F.size("hashes") * (1 - share) + 1e-9).cast("int") + 1)
-    values = F.when(F.col("size") == SMALL, some).otherwise(registers(F.col("hashes")))
-    keys = items.select(F.xxhash64("item").alias("item"), "size", F.posexplode(values).alias("register", "value")).withColumn("register", register_of)
+    large = items.filter(F.col("size") != SMALL).select(F.xxhash64("item").alias("item"), "size", F.posexplode(registers(F.col("hashes"))).alias("register", "value"))
+    keys = rare_shingles(items.filter(F.col("size") == SMALL), share).unionByName(large)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
 
     def of_blocks(hashes: Column) -> Column:
@@ -135,11 +144,15 @@ def contained(documents: DataFrame, benchmark: DataFrame, share: float = CONTAIN
         return F.when(F.size(hashes) > 0, F.concat(*parts))
 
     found = docs.select("doc_id", "h", F.explode(let(shingles(F.col("text")), of_windows)).alias("w")).select("doc_id", "h", "w.size", F.posexplode("w.registers").alias("register", "value")).withColumn("register", register_of)
-    pairs = found.join(F.broadcast(keys) if few else keys, ["size", "register", "value"]).select("doc_id", "h", "item").distinct()
-    pairs = stored(pairs.join(items.select(F.xxhash64("item").alias("item"), "item_id", "hashes"), "item")).withColumnsRenamed({"doc_id": "pair_id", "h": "pair_h"})
-    both = docs.join(pairs, docs["doc_id"].eqNullSafe(pairs["pair_id"]) & (docs["h"] == pairs["pair_h"]))
-    both = both.select("doc_id", "item_id", F.size("hashes").alias("n_shingles"), F.size(F.array_intersect("hashes", shingles(F.col("text")))).alias("n_found"))
-    return both.filter(F.col("n_found") >= F.col("n_shingles") * share).groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_found").alias("n_found"))
+    pairs = stored(found.join(F.broadcast(keys) if few else keys, ["size", "register", "value"]).select("doc_id", "h", "item").distinct())
+    known = items.select(F.xxhash64("item").alias("item"), "item_id", "hashes")
+    asked = pairs.join(F.broadcast(known) if few else known, "item").groupBy(F.col("doc_id").alias("pair_id"), F.col("h").alias("pair_h")).agg(F.collect_list(F.struct("item_id", "hashes")).alias("asked"))
+    both = docs.join(asked, docs["doc_id"].eqNullSafe(asked["pair_id"]) & (docs["h"] == asked["pair_h"]))
+    # a text's shingles are made once, whatever it is asked for
+    n_found = lambda own: F.transform("asked", lambda x: F.struct(x["item_id"].alias("item_id"), F.size(x["hashes"]).alias("n_shingles"), F.size(F.array_intersect(x["hashes"], own)).alias("n_found")))
+    answers = F.filter(let(shingles(F.col("text")), n_found), lambda x: x["n_found"] >= x["n_shingles"] * share)
+    found = both.select("doc_id", F.explode(answers).alias("x")).select("doc_id", "x.*")
+    return found.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_found").alias("n_found"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
