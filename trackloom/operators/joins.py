@@ -77,3 +77,14 @@ def gated_by_covariance(tracks: DataFrame, dets: DataFrame, gate: float, most: f
 
         pairs = pairs.withColumn("rank", F.row_number().over(W.partitionBy(*KEY, "track_id").orderBy("d2", "det_id"))).filter(F.col("rank") <= top_k).drop("rank")
     return pairs
+
+
+def timed(frames: DataFrame, poses: DataFrame) -> DataFrame:
+    """frames with `seconds`, the time of their pose; null for a frame without a pose, and frames given twice stay twice."""
+    clock = poses.select(*KEY, (F.col("timestamp_ns") * 1e-9).alias("seconds"))
+    return frames.drop("seconds").join(clock, KEY, "left")
+
+
+def with_variants(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Each row once for each variant, by an array of their names instead of a cross join; no names, no rows."""
+    return rows.withColumn("variant", F.explode(F.lit(names) if names else F.array().cast("array<string>")))

@@ -234,7 +234,7 @@ def o2(frames):
 @query("u4_sets_of_sequences", "(SELECT seq_name, 'both' AS kind FROM gt WHERE track_id = 38 INTERSECT SELECT seq_name, 'both' FROM gt WHERE track_id = 39) UNION ALL (SELECT seq_name, 'first' FROM gt WHERE track_id = 38 EXCEPT SELECT seq_name, 'first' FROM gt WHERE track_id = 44)", "gt")
 def u4(gt):
     of = lambda k: gt.filter(C("track_id") == k).select("seq_name")
-    return of(38).intersect(of(39)).withColumn("kind", F.lit("both")).unionByName(of(38).subtract(of(44)).withColumn("kind", F.lit("first")))
+    return predicates.in_both(of(38), of(39)).withColumn("kind", F.lit("both")).unionByName(predicates.in_first(of(38), of(44)).withColumn("kind", F.lit("first")))
 
 
 @query("u6_pooled_scores", "SELECT kind, count(*) AS n, round(avg(score), 6) AS mean FROM (SELECT CASE WHEN det_id % 2 = 0 THEN 'tp' ELSE 'fp' END AS kind, score FROM det) GROUP BY 1", "det")
@@ -392,7 +392,7 @@ def j8_far(gt, det):
 
 @query("j13_variants_by_sequence", "SELECT seq_name, v.variant, count(*) AS n FROM frames, (VALUES ('clean'), ('x2')) v(variant) GROUP BY ALL", "frames")
 def j13(frames):
-    return frames.withColumn("variant", F.explode(F.lit(["clean", "x2"]))).groupBy("seq_name", "variant").agg(F.count(F.lit(1)).alias("n"))
+    return joins.with_variants(frames, ["clean", "x2"]).groupBy("seq_name", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ ordered, aggregated
@@ -418,9 +418,9 @@ def a6_quantile(det):
 def a11(stats):
     n = stats.groupBy("seq_name").agg(F.count(F.lit(1)).alias("n"))
     status = F.when(C("n") % 3 == 0, "error").when(C("n") % 3 == 1, "skipped").otherwise("ok")
-    return n.groupBy(F.when(C("seq_name") < "seq_5", "a").otherwise("b").alias("split"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return summaries.status_counts(n.select(F.when(C("seq_name") < "seq_5", "a").otherwise("b").alias("split"), status.alias("status")), "split")
 
 
 @query("t9_frame_clocks", "SELECT seq_name, frame_idx, round((row_number() OVER (PARTITION BY seq_name ORDER BY frame_idx) - 1) / 15.0, 6) AS seconds, CAST(round_even((row_number() OVER (PARTITION BY seq_name ORDER BY frame_idx) - 1) / 15.0, 0) AS bigint) AS whole FROM frames", "frames")
 def t9(frames):
-    return tracks.frame_clock(frames, 15.0).select(*KEYS, F.round("seconds", 6).alias("seconds"), F.bround("seconds", 0).cast("long").alias("whole"))
+    return tracks.frame_clock(frames, 15.0).select(*KEYS, F.round("seconds", 6).alias("seconds"), "whole")

@@ -86,3 +86,13 @@ def all_frames(*tables: DataFrame) -> DataFrame:
 def pooled_scores(true: DataFrame, false: DataFrame) -> DataFrame:
     """(kind, score) of true and false detections together."""
     return true.select(F.lit("tp").alias("kind"), "score").unionByName(false.select(F.lit("fp").alias("kind"), "score"))
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sequences that both tables have, once each; a null name is a name like any other."""
+    return a.select("seq_name").intersect(b.select("seq_name"))
+
+
+def in_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sequences of the first table that the second has not, once each."""
+    return a.select("seq_name").subtract(b.select("seq_name"))

@@ -140,7 +140,7 @@ def j1(gt, det):
 
 @query("s5_timestamps", "SELECT f.seq_name, f.frame_idx, round(p.timestamp_ns * 1e-9, 6) AS t FROM frames f LEFT JOIN poses p ON f.seq_name = p.seq_name AND f.frame_idx = p.frame_idx", "frames", "poses")
 def s5(frames, poses):
-    return frames.join(poses, ["seq_name", "frame_idx"], "left").select(*KEYS, r6(C("timestamp_ns") * 1e-9, "t"))
+    return joins.timed(frames, poses).select(*KEYS, r6(C("seconds"), "t"))
 
 
 JSON_SQL = "SELECT seq_name, frame_idx, det_id AS track_id, 'pedestrian' AS label, round(score, 6) AS score, round(cx, 6) + 0.0 AS cx, round(rot_z, 6) + 0.0 AS rot_z FROM det UNION ALL SELECT seq_name, frame_idx, -1, NULL, NULL, NULL, NULL FROM frames f WHERE NOT EXISTS (SELECT 1 FROM det d WHERE d.seq_name = f.seq_name AND d.frame_idx = f.frame_idx)"

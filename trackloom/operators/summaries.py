@@ -106,3 +106,8 @@ def id_ranks(rows: DataFrame) -> DataFrame:
     ids = rows.select("seq_name", "track_id").distinct()
     by = W.partitionBy("seq_name")
     return ids.select("seq_name", "track_id", ((F.dense_rank().over(by.orderBy("track_id")) - 1) / F.greatest(F.count(F.lit(1)).over(by) - 1, F.lit(1))).alias("shade"))
+
+
+def status_counts(status: DataFrame, *by: str) -> DataFrame:
+    """status(by..., status) of a run's sequences, counted: (by..., status, n)."""
+    return status.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))

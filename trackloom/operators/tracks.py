@@ -85,8 +85,9 @@ def warm_up(frames: DataFrame, n: int) -> DataFrame:
 
 
 def frame_clock(frames: DataFrame, fps: float) -> DataFrame:
-    """Seconds of each frame since its sequence's first, by its place in order."""
-    return frames.withColumn("seconds", (F.row_number().over(W.partitionBy("seq_name").orderBy("frame_idx")) - 1) / fps)
+    """Seconds of each frame since its sequence's first, by its place in order, and the whole second nearest to it, an even one of two (`whole`)."""
+    out = frames.withColumn("seconds", (F.row_number().over(W.partitionBy("seq_name").orderBy("frame_idx")) - 1) / fps)
+    return out.withColumn("whole", F.bround("seconds", 0).cast("long"))
 
 
 def by_label(boxes: DataFrame) -> DataFrame:
