@@ -127,6 +127,7 @@ def fingerprinted(documents: DataFrame, size: int = SHINGLE, id_col: str = "doc_
     The next text is that of the next smaller doc_id; after the smallest comes the largest, so a single text is its own next.
     A null text is empty. A null doc_id is smaller than all others; rows that repeat a doc_id go on by a hash of their
     texts; rows equal in both are each in the result, and one in the order. An empty table gives an empty result. Further columns are ignored, whatever their names.
+    A very long text is one row like any other; what travels of it is its first third.
     """
     docs = documents.select(*row_key(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession

@@ -189,7 +189,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 2048, e
 
     A document's ids are those of the tokenizer's file and then end_id; only documents longer than `capacity` are
     cut. A null text is empty and thus one end id. Null ids and rows that repeat an id are packed like all others.
-    Further columns are ignored, whatever their names.
+    A very long text is encoded in one task and cut into many pieces. An empty table gives an empty result. Further columns are ignored, whatever their names.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return packed(pieces_of(docs, lambda text: word_ids(tokenizer).ids(text), capacity, end_id), capacity)

@@ -128,6 +128,7 @@ def near_duplicates(documents: DataFrame, k: int = 3, percent: int = 85, id_col:
     Texts without words, null and empty ones are linked with nothing. Rows that repeat an id are each in the
     result as one node, for which of several texts the one with the smallest hash is compared; a row whose id is null is
     alone and has the component null. Further columns are ignored, whatever their names. Documents with the same set are one class, so copies are never compared.
+    A very long text is shingled in one task, and its whole set is compared. An empty table gives an empty result.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     rows = stored(sketches(docs, k))

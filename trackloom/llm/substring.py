@@ -110,7 +110,7 @@ def without_repeats(documents: DataFrame, window: int = 50, id_col: str = "doc_i
     Returns (doc_id, n_words, n_removed, kept): kept is the words left, joined by one space. Further columns of
     the input are ignored, whatever their names. A null text has no words. A row whose doc_id is null keeps all
     words and is nobody's source. Rows with one doc_id are one document as far as sources go: they don't repeat each other.
-    An empty table gives an empty result.
+    An empty table gives an empty result. A very long text is worked on in one task, as arrays of its words.
     """
     docs = keyed(documents, id_col, text_col)
     spans = repeated_spans(docs, window, anchor)

@@ -186,7 +186,7 @@ def without_repeats(documents: DataFrame, length: int = 400, id_col: str = "doc_
     Returns (doc_id, n_bytes, n_removed, spans, kept): spans are the maximal removed runs as (start, end), kept the
     bytes left (binary, as a cut may fall inside a character). A null text is empty; a null doc_id is a key like any
     other. Rows that repeat a doc_id are texts of their own; equal rows repeat each other. Further columns are ignored,
-    whatever their names. An empty table gives an empty result.
+    whatever their names. An empty table gives an empty result. A very long text is worked on in one task, as arrays of a few times its bytes.
     """
     docs = documents.select(*row_key(F.col(id_col).cast("long"), F.col(text_col)), F.col(text_col).alias("text"))
     spans = repeated_spans(docs, length, anchor, batches)
