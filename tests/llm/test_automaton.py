@@ -8,14 +8,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from trackloom.llm.automaton import Automaton, ByteTokenizer, decoded, encoded, op11_bpe_automaton
+from trackloom.llm.automaton import Automaton, ByteDecoder, ByteTokenizer, decoded, encoded, op11_bpe_automaton
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def both():
-    return ByteTokenizer(PATH), Tokenizer.from_file(PATH)
+    return ByteTokenizer(PATH), ByteDecoder(PATH), Tokenizer.from_file(PATH)
 
 
 def ids_of(tokenizer, text):
@@ -23,11 +23,11 @@ def ids_of(tokenizer, text):
 
 
 def same(both, text):
-    ours, theirs = both
+    ours, decoder, theirs = both
     ids = ours.encode(text)
     want = ids_of(theirs, text)
     assert np.frombuffer(ids, "<u4").tolist() == want, text[:80]
-    assert ours.decode(ids) == theirs.decode(want, skip_special_tokens=False)
+    assert decoder.decode(ids) == theirs.decode(want, skip_special_tokens=False)
 
 
 def by_merging(word, merges):

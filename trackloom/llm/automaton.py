@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words, and arcs, that a Python worker keeps; then those that were not asked for since as many others came go.
-KNOWN = 300_000
+KNOWN = 200_000
 #: Characters of the longest word that is kept.
 KEPT = 64
 #: The split of words before merges, which files of this kind imply.
@@ -134,8 +134,30 @@ class Automaton:
         return tokens
 
 
+def token_labels(held: dict) -> tuple[dict[str, int], dict[int, bytes], dict[str, int]]:
+    """Of a tokenizer's file: tokens by their text there, the bytes of each, and special tokens by their text."""
+    hidden = [b for b in range(256) if b not in _SHOWN]
+    byte_of = {chr(b): b for b in _SHOWN} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    special = {t["content"]: t["id"] for t in held["added_tokens"]}
+    ids = {w: t for w, t in held["model"]["vocab"].items() if w not in special}
+    return ids, {t: bytes(byte_of[c] for c in w) for w, t in ids.items()}, special
+
+
+class ByteDecoder:
+    """Decoding of whole texts by a tokenizer's JSON file: the labels of its arcs alone."""
+
+    def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            _, labels, special = token_labels(json.load(f))
+        self.labels = labels | {t: w.encode() for w, t in special.items()}
+
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
 class ByteTokenizer:
-    """Encoding and decoding of whole texts by a tokenizer's JSON file of byte-level merges without normalizer or prefix space."""
+    """Encoding of whole texts by a tokenizer's JSON file of byte-level merges without normalizer or prefix space."""
 
     def __init__(self, path: str):
         import regex
@@ -145,17 +167,12 @@ class ByteTokenizer:
         model, split = held["model"], held["pre_tokenizer"]
         if model["type"] != "BPE" or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or held["normalizer"] or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError(f"{path} is not a byte-level tokenizer as this one reads them")
-        hidden = [b for b in range(256) if b not in _SHOWN]
-        byte_of = {chr(b): b for b in _SHOWN} | {chr(256 + k): b for k, b in enumerate(hidden)}
-        special = {t["content"]: t["id"] for t in held["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in held["added_tokens"]):
             raise ValueError(f"{path} has added tokens that take more than their own text")
-        ids = {w: t for w, t in model["vocab"].items() if w not in special}
-        labels = {t: bytes(byte_of[c] for c in w) for w, t in ids.items()}
+        ids, labels, special = token_labels(held)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.path = path
         self.automaton = Automaton(labels, [(ids[a], ids[b], ids[a + b]) for a, b in pairs])
-        self.labels = labels | {t: w.encode() for w, t in special.items()}
         self.words = regex.compile(WORDS)
         # the longest of several that begin at one place
         self.special = regex.compile("(" + "|".join(regex.escape(w) for w in sorted(special, key=len, reverse=True)) + ")") if special else None
@@ -181,19 +198,15 @@ class ByteTokenizer:
                 out += [self.known.get(w) or self.word(w) for w in self.words.findall(part)]
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-
 
-_known: ByteTokenizer | None = None
+_known: dict[type, ByteTokenizer | ByteDecoder] = {}
 
 
-def tokenizer_of(path: str) -> ByteTokenizer:
-    """One for each worker process, which serves all its tasks."""
-    global _known
-    if _known is None or _known.path != path:
-        _known = ByteTokenizer(path)
-    return _known
+def of_worker(kind: type, path: str):
+    """One tokenizer or decoder for each worker process, which serves all its tasks."""
+    if kind not in _known or _known[kind].path != path:
+        _known[kind] = kind(path)
+    return _known[kind]
 
 
 def encoded(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +215,7 @@ def encoded(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     empty result. Further columns are ignored, whatever their names."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokenizer_of(tokenizer)
+        known = of_worker(ByteTokenizer, tokenizer)
         for batch in batches:
             ids = [known.encode(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -215,7 +228,7 @@ def decoded(rows: DataFrame, tokenizer: str) -> DataFrame:
     are no UTF-8 become replacement characters."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokenizer_of(tokenizer)
+        known = of_worker(ByteDecoder, tokenizer)
         for batch in batches:
             texts = [known.decode(i.as_py()) if i.is_valid else None for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
