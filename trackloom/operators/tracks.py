@@ -36,14 +36,14 @@ def displacement(rows: DataFrame) -> DataFrame:
 
 
 def static_flag(rows: DataFrame, window: int = 15, radius: float = 0.3, epoch: str | None = None) -> DataFrame:
-    """Centre and largest radius of the last `window` positions; static if enough of them lie within `radius`. epoch names a column
-    that positions are forgotten by when it changes."""
+    """Centre and largest radius of the last `window` positions; static if enough of them lie within `radius`. Radii are compared by their first five decimals, so that
+    rounding errors of the centre don't decide about places exactly `radius` away. epoch names a column that positions are forgotten by when it changes."""
     last = W.partitionBy("seq_name", "track_id", *([epoch] if epoch else [])).orderBy("frame_idx").rowsBetween(1 - window, 0)
     rows = rows.withColumn("points", F.collect_list(F.struct("cx", "cy")).over(last))
     rows = rows.withColumn("mx", F.avg("cx").over(last)).withColumn("my", F.avg("cy").over(last))
     far = F.array_max(F.transform("points", lambda p: F.sqrt((p["cx"] - F.col("mx")) ** 2 + (p["cy"] - F.col("my")) ** 2)))
     rows = rows.withColumn("n", F.size("points")).withColumn("max_radius", far).drop("points")
-    return rows.withColumn("is_static", (F.col("n") >= max(3, window // 2)) & (F.col("max_radius") <= radius))
+    return rows.withColumn("is_static", (F.col("n") >= max(3, window // 2)) & (F.round("max_radius", 5) <= radius))
 
 
 def smoothed_speed(rows: DataFrame, alpha: float, fps: float) -> DataFrame:
