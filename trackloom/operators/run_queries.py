@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -191,17 +192,24 @@ _BY_HAND = """('clean', 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), ('dropout_
 VARIANTS_SQL = f"SELECT n.seq_name, n.n_frames, variant, {', '.join(f'round(CAST({c} AS double), 6) AS {c}' for c in _SETTINGS)} FROM (SELECT seq_name, count(*) AS n_frames FROM frames GROUP BY 1) n, (VALUES {_BY_HAND}) v(variant, {', '.join(_SETTINGS)})"
 
 
-def beside_frames(frames: DataFrame, spec: dict) -> DataFrame:
+def beside_frames(frames: DataFrame, spec: dict, settings: tuple[str, ...] = _SETTINGS) -> DataFrame:
     variants = [corruption.scaled(v) for v in corruption.resolve(spec)]
-    table = frames.sparkSession.createDataFrame([(v["name"], *(float(v[c]) for c in _SETTINGS)) for v in variants], f"variant string, {', '.join(f'{c} double' for c in _SETTINGS)}")
+    table = frames.sparkSession.createDataFrame([(v["name"], *(float(v[c]) for c in settings)) for v in variants], f"variant string, {', '.join(f'{c} double' for c in settings)}")
     n = frames.groupBy("seq_name").agg(F.count(F.lit(1)).alias("n_frames")).withColumn("variant", F.explode(F.lit([v["name"] for v in variants])))
-    return n.join(F.broadcast(table), "variant").select("seq_name", "n_frames", "variant", *(r6(C(c), c) for c in _SETTINGS))
+    return n.join(F.broadcast(table), "variant").select("seq_name", "n_frames", "variant", *(r6(C(c), c) for c in settings))
 
 
-@query("c2_variants", VARIANTS_SQL, "frames")
+#: The settings that no variant of the spec names, by their defaults.
+_UNNAMED = """15 AS fps, 1 AS score_value, 0 AS instability_mode_yaw_sigma_rad, 0 AS instability_jitter_yaw_sigma_rad, 0 AS instability_jitter_lwh_sigma_rel, 0 AS confuser_yaw_sigma_rad, 0 AS confuser_lwh_sigma_rel,
+0 AS confuser_jitter_xy_sigma_m, 0 AS confuser_jitter_yaw_sigma_rad, 0 AS confuser_jitter_lwh_sigma_rel, 0 AS confuser_p_yaw_random, 0 AS confuser_static_offset_xy_mu_m, 0 AS confuser_static_offset_xy_sigma_m, 0 AS confuser_static_yaw_sigma_rad,
+0 AS confuser_static_lwh_sigma_rel, 0 AS confuser_static_jitter_xy_sigma_m, 0 AS confuser_static_jitter_yaw_sigma_rad, 0 AS confuser_static_jitter_lwh_sigma_rel, 0 AS confuser_static_p_yaw_random"""
+_REST = tuple(re.findall(r"AS (\w+)", _UNNAMED))
+
+
+@query("c2_variants", f"SELECT v.*, {', '.join(f'CAST({c} AS double) AS {c}' for c in _REST)} FROM ({VARIANTS_SQL}) v, (SELECT {_UNNAMED})", "frames")
 def c2(frames):
-    """Each variant's settings with its severity beside the number of frames that it will be applied to."""
-    return beside_frames(frames, corruption.EXAMPLE)
+    """All settings of each variant, with its severity, beside the number of frames that it will be applied to."""
+    return beside_frames(frames, corruption.EXAMPLE, (*_SETTINGS, *_REST))
 
 
 @query("s9_variants_of_file", VARIANTS_SQL, "frames")
