@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.batches import starts, whole_groups
+
 #: The settings of a variant and what they are if nothing is said. Names say their unit: _s seconds, _m metres,
 #: _rad radians, _rel a share of the size; those with _p_ are probabilities.
 DEFAULTS = {
@@ -178,11 +180,9 @@ def confused(frames: np.ndarray, boxes: np.ndarray, seen: np.ndarray, v: Mapping
 BOX = ["cx", "cy", "cz", "l", "w", "h", "rot_z"]
 
 
-def corrupted(track: pd.DataFrame, v: Mapping, rng: np.random.Generator, scores: np.random.Generator, pools: Mapping[str, np.ndarray]) -> pd.DataFrame:
-    """One track's detections under one variant, with severity applied: instability, dropout, confusers, scores, in this order.
-    Bursts and tracklets run over frame numbers, not rows. Scores have random numbers of their own."""
-    track = track.sort_values("frame_idx")
-    frames, boxes = track["frame_idx"].to_numpy(), track[BOX].to_numpy(float)
+def corrupted(frames: np.ndarray, boxes: np.ndarray, v: Mapping, rng: np.random.Generator, scores: np.random.Generator, pools: Mapping[str, np.ndarray]) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """One track's detections under one variant, with severity applied: instability, dropout, confusers, scores, in this order; (kind, rows of the track, boxes, scores) of the
+    true and the false ones. Bursts and tracklets run over frame numbers, which rise, not rows. Scores have random numbers of their own."""
     primary = switched(boxes, v, rng) if v["instability_enable"] else boxes
     seen = seen_rows(frames, v, rng) if v["dropout_enable"] and v["dropout_max_s"] > 0 else np.ones(len(frames), bool)
     rows, beside = confused(frames, boxes, seen, v, rng) if v["confuser_enable"] and v["confuser_max_active"] > 0 else (np.zeros(0, int), np.zeros((0, 7)))
@@ -190,24 +190,38 @@ def corrupted(track: pd.DataFrame, v: Mapping, rng: np.random.Generator, scores:
     for kind, at, made in (("tp", np.flatnonzero(seen), primary[seen]), ("fp", rows, beside)):
         pool = pools.get(kind, ())
         drawn = np.asarray(pool)[scores.integers(0, len(pool), len(at))] if v["score_mode"] == "sample" and len(pool) else np.full(len(at), float(v["score_value"]))
-        parts.append(pd.DataFrame(made, columns=BOX).assign(frame_idx=frames[at], kind=kind, score=drawn))
-    return pd.concat(parts, ignore_index=True)
+        parts.append((kind, at, made, drawn))
+    return parts
 
 
 def corrupt(boxes: DataFrame, variants: list[dict], seed: int, pools: Mapping[str, list[float]] | None = None) -> DataFrame:
     """boxes(seq_name, track_id, frame_idx, box) under every variant, by tracks. Groups never meet: rows don't depend on partitions.
 
-    pools: scores of true ('tp') and false ('fp') detections to draw from, a bounded sample (see sources.reports.score_pools).
+    pools: scores of true ('tp') and false ('fp') detections to draw from, a bounded sample (see sources.reports.score_pools). A track's rows travel once, for all variants, and a
+    task takes the tracks of a batch one after the other.
     """
     by_name = {v["name"]: scaled(v) for v in variants}
     held = {k: np.asarray(x, float) for k, x in (pools or {}).items()}
+    keys = ["seq_name", "track_id"]
+
+    def tracks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, keys):
+            frames, rows, at = pdf["frame_idx"].to_numpy(), pdf[BOX].to_numpy(float), starts(pdf, keys).tolist()
+            names = pdf["seq_name"].tolist()
+            ids = [None if pd.isna(i) else int(i) for i in pdf["track_id"]]
+            found: list[tuple] = []  # variant, kind, rows of pdf, boxes, scores
+            for a, b in zip(at, [*at[1:], len(pdf)]):
+                for variant, v in by_name.items():
+                    streams = (np.random.default_rng(group_seed(seed, variant, names[a], "tid", ids[a], part)) for part in ("geom", "score"))
+                    found += [(variant, kind, a + own, made, drawn) for kind, own, made, drawn in corrupted(frames[a:b], rows[a:b], v, *streams, held) if len(own)]
+            if not found:
+                continue
+            variant, kind, own, made, drawn = zip(*found)
+            out, n = pdf.iloc[np.concatenate(own)][["seq_name", "track_id", "frame_idx"]].reset_index(drop=True), [len(x) for x in own]
+            out.insert(0, "variant", np.repeat(np.array(variant, object), n))
+            out[BOX] = np.concatenate(made)
+            yield out.assign(kind=np.repeat(np.array(kind, object), n), score=np.concatenate(drawn))
 
-    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        variant, seq, track = key
-        streams = (np.random.default_rng(group_seed(seed, variant, seq, "tid", track, part)) for part in ("geom", "score"))
-        return corrupted(pdf, by_name[variant], *streams, held).assign(variant=variant, seq_name=seq, track_id=track)
-
-    rows = boxes.withColumn("variant", F.explode(F.lit(list(by_name))))
     schema = "variant string, seq_name string, track_id bigint, frame_idx int, " + ", ".join(f"{c} double" for c in BOX) + ", kind string, score double"
-    columns = ["variant", "seq_name", "track_id", "frame_idx", *BOX, "kind", "score"]
-    return rows.groupBy("variant", "seq_name", "track_id").applyInPandas(lambda k, p: group(k, p)[columns], schema)
+    rows = boxes.select("seq_name", F.col("track_id").cast("long").alias("track_id"), "frame_idx", *BOX)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_idx").mapInPandas(tracks, schema)
