@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.operators.batches import starts, whole_groups
 from trackloom.sources.formats import DETECTION_KEYS, LABEL_KEYS, read_boxes, track_lines, true_text
 
 #: Where files of scores hold those of true and false detections, tried in this order.
@@ -110,19 +111,23 @@ def pending(sequences: DataFrame, done: DataFrame) -> DataFrame:
 def with_status(rows: DataFrame, work: Callable[[pd.DataFrame], Mapping[str, object]], columns: Mapping[str, str], by: Sequence[str] = ("seq_name",)) -> DataFrame:
     """work(group) for each group, as one row with `columns`, status and error. A group that fails is a row with its error and nulls; others go on.
 
-    A group is one task's work, as it is where the work itself fails or succeeds as a whole.
+    A group is held whole, as it is where the work itself fails or succeeds as a whole; a task takes the groups of a batch one after the other.
     """
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            out = {**work(pdf), "status": "ok", "error": None}
-        except Exception as e:  # the row says what happened
-            out = {**dict.fromkeys(columns), "status": "error", "error": f"{type(e).__name__}: {e}"}
-        return pd.DataFrame([{**dict(zip(by, key)), **out}])[[*by, *columns, "status", "error"]]
+    by = list(by)
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, by):
+            at, done = starts(pdf, by), []
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(pdf)]):
+                try:
+                    done.append({**work(pdf.iloc[a:b].reset_index(drop=True)), "status": "ok", "error": None})
+                except Exception as e:  # the row says what happened
+                    done.append({**dict.fromkeys(columns), "status": "error", "error": f"{type(e).__name__}: {e}"})
+            yield pdf.iloc[at][by].reset_index(drop=True).assign(**{c: pd.Series([d[c] for d in done], dtype=object) for c in (*columns, "status", "error")})
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{c} {k}" for c, k in columns.items()), "status string", "error string"])
-    return rows.groupBy(*by).applyInPandas(one, schema)
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInPandas(groups, schema)
 
 
 def label_lines(boxes: DataFrame) -> DataFrame:
