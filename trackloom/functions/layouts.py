@@ -37,8 +37,12 @@ def area(l: Column, w: Column) -> Column:  # noqa: E741
 
 def signed_area(points: Column) -> Column:
     """Of a polygon as an array of (x, y); positive counter-clockwise."""
-    after = lambda i: F.get(points, F.pmod(i + 1, F.size(points)))
-    return F.aggregate(F.transform(points, lambda p, i: p["x"] * after(i)["y"] - after(i)["x"] * p["y"]), F.lit(0.0), lambda a, x: a + x) / 2
+
+    def of(p: Column) -> Column:
+        after = F.concat(F.slice(p, F.lit(2), F.size(p)), F.slice(p, F.lit(1), F.lit(1)))
+        return F.aggregate(F.zip_with(p, after, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda a, x: a + x) / 2
+
+    return F.get(F.transform(F.array(points), of), F.lit(0))  # so that the points are made once, not for each use
 
 
 def new_height(cz: Column, h: Column, wanted: Column) -> Column:
