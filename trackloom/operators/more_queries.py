@@ -106,9 +106,8 @@ def k1(gt):
 @query("k3_label_lines", f"SELECT seq_name, frame_idx, CAST(track_id AS bigint) AS track_id, 'pedestrian' AS label, CAST(NULL AS double) AS score, 17 AS columns, {r('cx', 'cy', digits=4)} FROM gt", "gt")
 def k3(gt):
     """Labels as track lines without a score, parsed again."""
-    lines = reports.label_lines(gt)
-    n = lines.select(*KEYS, "track_id", F.size(F.split("value", " ")).alias("columns"))
-    rows = formats.parse_tracks(lines).join(n, [*KEYS, "track_id"])
+    lines = reports.label_lines(gt).withColumn("columns", F.size(F.split("value", " ")))
+    rows = formats.parse_tracks(lines, "columns")
     return rows.select(*KEYS, "track_id", "label", "score", "columns", *((F.round(c, 4) + 0.0).alias(c) for c in ("cx", "cy")))
 
 
@@ -159,8 +158,8 @@ def p1(det):
     listed = F.to_json(F.array(*(F.when(C("det_id") % 7 == 3, F.lit(None)).otherwise(C(c)) if c == "rot_z" else C(c) for c in BOX)))
     short = F.to_json(F.array(*(C(c) for c in BOX[:6])))
     text = F.when(C("det_id") % 7 == 3, short).when(C("det_id") % 2 == 0, listed).otherwise(F.to_json(F.struct(*BOX)))
-    rows = det.select(*KEYS, "det_id", formats.box_of(text).alias("b")).filter("b is not null").select(*KEYS, "det_id", "b.*")
-    return rows.select(*KEYS, "det_id", *rc("cx", "l", "rot_z"))
+    boxes = F.explode(F.array_compact(F.array(formats.box_of(text)))).alias("b")  # read once, as a filter would read them again
+    return det.select(*KEYS, "det_id", boxes).select(*KEYS, "det_id", *(r6(C(f"b.{c}"), c) for c in ("cx", "l", "rot_z")))
 
 
 LABELLED = "SELECT *, CASE WHEN det_id % 5 = 0 THEN 'Pedestrian' WHEN det_id % 5 = 1 THEN 'pedestrian' WHEN det_id % 5 = 2 THEN NULL ELSE 'car' END AS label FROM det"

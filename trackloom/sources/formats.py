@@ -41,8 +41,8 @@ def label_parts(label_id: Column, mode: str = "unknown") -> tuple[Column, Column
 
 def box_of(box: Column) -> Column:
     """A box from its JSON text, which is an object or a list of seven."""
-    listed = F.from_json(box, "array<double>")
-    as_list = F.when(F.size(listed) == 7, F.struct(*(F.get(listed, F.lit(i)).alias(m) for i, m in enumerate(MEMBERS))))
+    seven = lambda v: F.when(F.size(v) == 7, F.struct(*(F.get(v, F.lit(i)).alias(m) for i, m in enumerate(MEMBERS))))
+    as_list = F.get(F.transform(F.array(F.from_json(box, "array<double>")), seven), F.lit(0))  # parsed once, not for each member
     as_object = F.from_json(box, ", ".join(f"{m} double" for m in MEMBERS))
     return F.when(F.substring(F.ltrim(box), 1, 1) == "[", as_list).otherwise(as_object)
 
@@ -106,13 +106,13 @@ def write_tracks(lines: DataFrame, path: str) -> None:
     out.select("seq_name", "value").write.partitionBy("seq_name").mode("overwrite").text(path)
 
 
-def parse_tracks(lines: DataFrame) -> DataFrame:
-    """lines(seq_name, value) as boxes; blank lines are skipped, 17 columns mean no score."""
+def parse_tracks(lines: DataFrame, *kept: str) -> DataFrame:
+    """lines(seq_name, value) as boxes; blank lines are skipped, 17 columns mean no score. Columns named `kept` stay."""
     c = F.split(F.trim("value"), r"\s+")
     n = lambda i: F.get(c, F.lit(i)).cast("double")
     axes = import_axes(n(10), n(11), n(12), n(14), n(16))
     rows = lines.filter(F.trim("value") != "")
-    return rows.select("seq_name", F.get(c, F.lit(0)).cast("int").alias("frame_idx"), F.get(c, F.lit(1)).cast("long").alias("track_id"), F.get(c, F.lit(2)).alias("label"), axes["cx"].alias("cx"), axes["cy"].alias("cy"), axes["cz"].alias("cz"), n(15).alias("l"), n(13).alias("w"), n(14).alias("h"), axes["rot_z"].alias("rot_z"), n(17).alias("score"))
+    return rows.select("seq_name", F.get(c, F.lit(0)).cast("int").alias("frame_idx"), F.get(c, F.lit(1)).cast("long").alias("track_id"), F.get(c, F.lit(2)).alias("label"), axes["cx"].alias("cx"), axes["cy"].alias("cy"), axes["cz"].alias("cz"), n(15).alias("l"), n(13).alias("w"), n(14).alias("h"), axes["rot_z"].alias("rot_z"), n(17).alias("score"), *kept)
 
 
 def true_text(value: Column) -> Column:
