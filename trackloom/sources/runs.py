@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import io
+import math
+import re
 import uuid
+import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.operators.batches import starts
 from trackloom.operators.quantiles import with_quantiles
 from trackloom.operators.summaries import calibrated
 from trackloom.plans.storage import shared_folder, written
 from trackloom.sources.reports import RUN_SUMMARY, pending
-from trackloom.sources.splits import FileSink
+from trackloom.sources.splits import FileSink, file_system
 
+#: Lines of a file of a sequence, about.
+LINES = 2_000_000
 MEMBERS = ("cx", "cy", "cz", "l", "w", "h", "rot_z")
 
 
@@ -42,10 +50,13 @@ def write_pending(rows: DataFrame, path: str, run: str | None = None) -> DataFra
     """
     spark = rows.sparkSession
     run = run or uuid.uuid4().hex
-    todo = written(pending(rows.select("seq_name").distinct(), finished(spark, path)))
-    out = rows.join(todo, "seq_name", "left_semi").select("seq_name", "value")
-    # a large sequence is several files
+    sizes = rows.groupBy("seq_name").agg(F.ceil(F.count(F.lit(1)) / LINES).cast("int").alias("files"))
+    todo = written(pending(sizes, finished(spark, path)))
+    # a sequence is one task's, so that there are as many files as sequences, not as sequences times tasks; a large one is several files
+    out = rows.join(todo, "seq_name").select("seq_name", "value", F.pmod(F.xxhash64("value"), "files").alias("_file"))
+    out = out.repartition("seq_name", "_file").select("seq_name", "value")
     out.write.partitionBy("seq_name").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(f"{path}/data")
+    todo = todo.select("seq_name")
     todo.withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(f"{path}/finished")
     return todo
 
@@ -95,49 +106,137 @@ ARRAYS = {"tp_scores": "tp", "fp_scores": "fp"}
 
 
 def archive_bytes(arrays: Mapping[str, object]) -> bytes:
-    import numpy as np
-
     out = io.BytesIO()
     np.savez_compressed(out, **arrays)
     return out.getvalue()
 
 
-def write_archives(scores: DataFrame, path: str, by: str) -> None:
-    """scores(by, kind, score) as one archive of arrays for each value of `by`, named by it; an archive is one task's work, as its reader holds it whole, too."""
-    import numpy as np
-    import pandas as pd
+#: Scores that are held at once when an archive is written, and bytes of it that go to its file at once.
+_HELD, _PART = 1 << 20, 1 << 22
+
+
+class _Sent(io.RawIOBase):
+    """What a zip file is written to: its bytes wait until they are taken."""
+
+    def __init__(self):
+        self.waiting = bytearray()
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.waiting += data
+        return len(data)
 
-    def archive(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        arrays = {name: np.sort(pdf["score"][pdf["kind"] == kind].to_numpy(np.float32)) for name, kind in ARRAYS.items()}
-        return pd.DataFrame({"name": [f"{key[0]}.npz"], "body": [archive_bytes(arrays)]})
+    def taken(self) -> bytes:
+        out, self.waiting = bytes(self.waiting), bytearray()
+        return out
+
+
+def spread(values: np.ndarray, counts: np.ndarray, most: int = _HELD) -> Iterator[np.ndarray]:
+    """Each value as often as its count says, in pieces of less than twice `most`."""
+    k = -(-counts // most)
+    values, n = np.repeat(values, k), np.full(int(k.sum()), most)
+    n[np.cumsum(k) - 1] = counts - (k - 1) * most
+    piece = np.cumsum(n) // most
+    for i in np.unique(piece):
+        yield np.repeat(values[piece == i], n[piece == i])
+
+
+def write_archives(scores: DataFrame, path: str, by: str) -> None:
+    """scores(by, kind, score) as one archive of arrays for each value of `by`, named by it. Scores are counted by value first; the task that writes an archive goes
+    through its values in order and sends the file on in parts, so neither the rows nor the arrays are held."""
+    value = F.coalesce(F.col("score").cast("float"), F.lit(float("nan")).cast("float"))
+    counts = written(scores.groupBy(F.col(by).cast("string").alias("by"), "kind", value.alias("score")).agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("by", "kind").agg(F.sum("n").alias("total")).select(F.col("by").alias("_by"), F.col("kind").alias("_kind"), "total")
+    rows = counts.join(totals, F.col("by").eqNullSafe(F.col("_by")) & F.col("kind").eqNullSafe(F.col("_kind"))).select("by", "kind", "score", "n", "total")
+    array_of = {kind: name for name, kind in ARRAYS.items()}
+
+    def archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent, archive, member, begun, last = _Sent(), None, None, set(), None
+
+        def begin(kind: str, n: int):
+            begun.add(kind)
+            out = archive.open(f"{array_of[kind]}.npy", "w", force_zip64=True)
+            np.lib.format.write_array_header_1_0(out, {"descr": "<f4", "fortran_order": False, "shape": (n,)})
+            return out
+
+        def part() -> pd.DataFrame:
+            return pd.DataFrame({"name": [f"{last}.npz"], "body": [sent.taken()]})
+
+        def finish() -> pd.DataFrame:
+            if member is not None:
+                member.close()
+            for kind in array_of:
+                if kind not in begun:
+                    begin(kind, 0).close()
+            archive.close()
+            return part()
+
+        for pdf in batches:
+            at = starts(pdf, ["by", "kind"])
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(pdf)]):
+                name, kind = pdf["by"].iloc[a], pdf["kind"].iloc[a]
+                if archive is None or name != last:
+                    if archive is not None:
+                        yield finish()
+                    archive, member, last = zipfile.ZipFile(sent, "w", zipfile.ZIP_DEFLATED), None, name
+                    begun.clear()
+                if kind not in array_of:
+                    continue
+                if kind not in begun:
+                    if member is not None:
+                        member.close()
+                    member = begin(kind, int(pdf["total"].iloc[a]))
+                for values in spread(pdf["score"].to_numpy(np.float32)[a:b], pdf["n"].to_numpy()[a:b]):
+                    member.write(values.astype("<f4").tobytes())
+                    if len(sent.waiting) > _PART:
+                        yield part()
+        if archive is not None:
+            yield finish()
 
     scores.sparkSession.dataSource.register(FileSink)
-    rows = scores.select(F.col(by).cast("string").alias("by"), "kind", "score").groupBy("by").applyInPandas(archive, "name string, body binary")
-    rows.write.format("whole_files").mode("append").save(path)
+    files = rows.repartition("by").sortWithinPartitions("by", "kind", "score").mapInPandas(archives, "name string, body binary")
+    files.write.format("whole_files").mode("append").save(path)
+
+
+def stored_array(archive: zipfile.ZipFile, name: str, most: int) -> Iterator[np.ndarray]:
+    """An array of an archive, flat, in pieces of at most `most` values. One in Fortran's order is held whole, as it has to be turned."""
+    with archive.open(f"{name}.npy") as f:
+        version = np.lib.format.read_magic(f)
+        shape, turned, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        if not turned and not kind.hasobject:
+            left = math.prod(shape)
+            while left:
+                n = min(left, most)
+                yield np.frombuffer(f.read(n * kind.itemsize), kind)
+                left -= n
+            return
+    with archive.open(f"{name}.npy") as f:
+        x = np.lib.format.read_array(f, allow_pickle=False).reshape(-1)
+    yield from (x[at : at + most] for at in range(0, len(x), most))
 
 
 def read_archives(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
-    """(name, kind, score) of all archives under path: finite scores, clipped to [0, 1], as float32 has them; name is the file's without its ending. Archives are scanned as
-    binary files and decoded in Arrow batches of at most `most` rows. Other arrays of an archive are ignored; one without both arrays of scores is an error."""
+    """(name, kind, score) of all archives under path: finite scores, clipped to [0, 1], as float32 has them; name is the file's without its ending. Each array is a task's, which
+    decodes it in Arrow batches of at most `most` rows and holds no more. Other arrays of an archive are ignored; one without both arrays of scores is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
-            for name, body in zip(batch.column("name").to_pylist(), batch.column("content")):
-                with np.load(io.BytesIO(body.as_buffer()), allow_pickle=False) as held:
-                    if not set(ARRAYS) <= set(held.files):
-                        raise ValueError(f"{name} has no {' and '.join(ARRAYS)} but {held.files}")
-                    for array, kind in ARRAYS.items():
-                        x = held[array].astype(np.float32).reshape(-1)
+            for name, file, array in zip(*(batch.column(c).to_pylist() for c in ("name", "path", "array"))):
+                store, place = file_system(re.sub(r"^file:/+", "/", file))
+                with store.open_input_file(place) as f, zipfile.ZipFile(f) as archive:
+                    held = [n.removesuffix(".npy") for n in archive.namelist()]
+                    if not set(ARRAYS) <= set(held):
+                        raise ValueError(f"{name} has no {' and '.join(ARRAYS)} but {held}")
+                    for x in stored_array(archive, array, most):
+                        x = x.astype(np.float32)
                         x = np.clip(x[np.isfinite(x)], 0, 1).astype(float)
-                        for at in range(0, len(x), most):
-                            part = x[at : at + most]
-                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([kind] * len(part)), pa.array(part)], names=["name", "kind", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array([ARRAYS[array]] * len(x), pa.string()), pa.array(x)], names=["name", "kind", "score"])
 
-    named = files.select(F.regexp_extract("path", r"([^/]*)\.npz$", 1).alias("name"), "content")
-    return named.mapInArrow(decode, "name string, kind string, score double")
+    arrays = files.select(F.regexp_extract("path", r"([^/]*)\.npz$", 1).alias("name"), "path", F.explode(F.lit(list(ARRAYS))).alias("array"))
+    return arrays.repartition(spark.sparkContext.defaultParallelism, "path", "array").mapInArrow(decode, "name string, kind string, score double")
 
 
 # ------------------------------------------------------------------ reports as files

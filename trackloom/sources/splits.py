@@ -20,6 +20,8 @@ from trackloom.sources.formats import boxes_of
 _FRAME = re.compile(r'"(\s*\d[^"]*)"\s*:\s*(?=\[)')
 #: What is read at once beyond a range, for the frame that its end cuts.
 _MORE = 1 << 16
+#: Tasks that a scan is parted into, about, and bytes of one that has more to read than a range.
+TASKS, BUNDLE = 256, 1 << 25
 _POSE = "timestamp_ns bigint, x double, y double, z double, qx double, qy double, qz double, qw double"
 
 
@@ -37,7 +39,7 @@ def sequence_of(path: str) -> str:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """The frames of a file whose keys begin from start on and before end."""
 
     path: str
@@ -46,6 +48,13 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads, one after the other."""
+
+    ranges: list[Range]
+
+
 class FrameReader(DataSourceReader):
     def __init__(self, path: str, suffix: str, split_bytes: int):
         self.path, self.suffix, self.split_bytes, self.names = path, suffix, split_bytes, None
@@ -59,7 +68,7 @@ class FrameReader(DataSourceReader):
                 self.names = set(f.value) if self.names is None else self.names & set(f.value)
             yield f
 
-    def partitions(self) -> Sequence[Range]:
+    def ranges(self) -> list[Range]:
         from pyarrow import fs
 
         store, path = file_system(self.path)
@@ -69,7 +78,24 @@ class FrameReader(DataSourceReader):
         chosen = [f for f in shown if self.names is None or sequence_of(f.path) in self.names]
         return [Range(f.path, sequence_of(f.path), at, min(at + self.split_bytes, f.size)) for f in chosen for at in range(0, f.size, self.split_bytes)]
 
-    def read(self, partition: Range) -> Iterator[tuple[str, str, str]]:
+    def partitions(self) -> Sequence[Ranges]:
+        """Ranges in bundles: about TASKS of them, none of more than BUNDLE bytes, if a range itself is not; many small files don't make as many tasks."""
+        ranges = self.ranges()
+        most = min(BUNDLE, sum(r.end - r.start for r in ranges) // TASKS)
+        bundles, size = [], most + 1
+        for r in ranges:
+            if size + r.end - r.start > most:
+                bundles.append(Ranges([]))
+                size = 0
+            bundles[-1].ranges.append(r)
+            size += r.end - r.start
+        return bundles
+
+    def read(self, partition: Ranges) -> Iterator[tuple[str, str, str]]:
+        for r in partition.ranges:
+            yield from self.frames_of(r)
+
+    def frames_of(self, partition: Range) -> Iterator[tuple[str, str, str]]:
         store, _ = file_system(self.path)
         decoder, parse = codecs.getincrementaldecoder("utf-8")("ignore"), json.JSONDecoder()
         with store.open_input_file(partition.path) as f:
@@ -92,8 +118,8 @@ class FrameReader(DataSourceReader):
 
 
 class FrameSource(DataSource):
-    """Format `frames`: (seq_name, frame_id, value), the list of each frame as JSON text. A file is read in ranges of splitBytes (32 MB), each by a task of
-    its own, so nobody holds more than a range and one frame. Options: suffix of files (.json), splitBytes."""
+    """Format `frames`: (seq_name, frame_id, value), the list of each frame as JSON text. A file is read in ranges of splitBytes (32 MB), one after the other
+    within a task, so nobody holds more than a range and one frame. Options: suffix of files (.json), splitBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -120,13 +146,18 @@ class FileWriter(DataSourceWriter):
 
     def write(self, rows) -> Written:
         store, path = file_system(self.path)
-        done = []
+        done, name, out = [], None, None
         for row in rows:
-            beside = f"{path}/_writing/{uuid.uuid4().hex}"
-            store.create_dir(f"{path}/_writing", recursive=True)
-            with store.open_output_stream(beside) as out:
-                out.write(bytes(row["body"]))
-            done.append((beside, f"{path}/{row['name']}"))
+            if row["name"] != name:
+                if out is not None:
+                    out.close()
+                beside, name = f"{path}/_writing/{uuid.uuid4().hex}", row["name"]
+                store.create_dir(f"{path}/_writing", recursive=True)
+                out = store.open_output_stream(beside)
+                done.append((beside, f"{path}/{name}"))
+            out.write(bytes(row["body"]))
+        if out is not None:
+            out.close()
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -146,7 +177,7 @@ class FileWriter(DataSourceWriter):
 
 
 class FileSink(DataSource):
-    """Format `whole_files`: writes (name string, body binary), a file for each row."""
+    """Format `whole_files`: writes (name string, body binary), a file for each name; rows of a name that follow each other in a task are its parts, in order."""
 
     @classmethod
     def name(cls) -> str:
