@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.operators.matching import KEY, assign
+from trackloom.operators.matching import KEY, assign, by_frame
 from trackloom.plans.storage import written
 
 #: Half rounds of label propagation between two tests of convergence.
-HALVES = 6
+HALVES = 12
 #: Partial matchings of a component that are compared each with each; components that may have more go to the solver.
 MATCHINGS = 256
 
@@ -23,24 +23,26 @@ def components(edges: DataFrame) -> DataFrame:
     """edges(seq_name, frame_idx, track_id, det_id, ...) with `component`: the smallest track_id that an edge reaches over others of its frame.
 
     Labels go from tracks to detections and back, the least one around each; after each HALVES half rounds the labels also jump to the label of
-    the track that they name, so a chain of n boxes takes about log n rounds. It ends when a round changes no label. Each half round is a window over
-    the edges of one box, so neither a component nor a frame is gathered. Edges of a null sequence, frame or box are of no graph, and go; edges given twice stay twice. No edges, no
-    rows.
+    the track that they name, so a chain of n boxes takes about log n rounds. It ends when the last two half rounds of a round change no label. Each half round is a window
+    over the edges of one box in a partition that has whole frames, so edges travel once a round, and neither a component nor a frame is held. Edges of a null sequence, frame or box
+    are of no graph, and go; edges given twice stay twice. No edges, no rows.
     """
     own = edges.dropna(subset=[*KEY, "track_id", "det_id"])
-    now = written(own.withColumn("component", F.col("track_id")))
+    now = own.withColumn("component", F.col("track_id"))
     while True:
-        after = now.withColumn("before", F.col("component"))
+        after = by_frame(now)
         for half in range(HALVES):
+            if half == HALVES - 2:
+                after = after.withColumn("before", F.col("component"))
             box = ("det_id", "track_id")[half % 2]
             after = after.withColumn("component", F.min("component").over(W.partitionBy(*KEY, box)))
-        heads = after.groupBy(*KEY, F.col("track_id").alias("component")).agg(F.min("component").alias("head"))
-        after = after.join(heads, [*KEY, "component"])  # each label is a track's own number
-        after = written(after.withColumn("component", F.col("head")).drop("head"))
-        changed = not after.filter("component <> before").isEmpty()
-        now = after.select(*own.columns, "component")
-        if not changed:
-            return now
+        after = written(after)
+        if after.filter("component <> before").isEmpty():
+            return after.select(*own.columns, "component")
+        frames = by_frame(after)
+        heads = frames.groupBy(*KEY, F.col("track_id").alias("component")).agg(F.min("component").alias("head"))
+        now = frames.join(heads, [*KEY, "component"])  # each label is a track's own number
+        now = now.select(*own.columns, F.col("head").alias("component"))
 
 
 def stars(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +80,7 @@ def assign_by_component(edges: DataFrame, most: int = MATCHINGS) -> DataFrame:
     frames a batch. The bound on sets is the product of (1 + edges) over a component's tracks. Repeated edges count once, with their least cost.
     """
     rows = edges.groupBy(*KEY, "track_id", "det_id").agg(F.min("cost").alias("cost"))
-    single, several = stars(components(rows))
+    single, several = stars(by_frame(components(rows)))
     degree = F.count(F.lit(1)).over(W.partitionBy(*KEY, "component", "track_id"))
     # each edge brings its share of its track's log, so that the sum over the component is that of its tracks
     several = several.withColumn("_log", F.log(1.0 + degree) / degree).withColumn("_log", F.sum("_log").over(W.partitionBy(*KEY, "component")))
@@ -98,13 +100,13 @@ def assign_by_component(edges: DataFrame, most: int = MATCHINGS) -> DataFrame:
 def greedy_rounds(edges: DataFrame) -> DataFrame:
     """edges one to one, the cheapest first, ties by track and detection, as table rounds: edges that are the first of both their boxes are taken, and all that
     share a box with them go, until none is left. What a pass over the sorted edges takes is the same; here frames need not fit anywhere."""
-    left = written(edges.select(*KEY, "track_id", "det_id", "cost"))
-    taken = []
-    while not left.isEmpty():
+    left, taken = edges.select(*KEY, "track_id", "det_id", "cost"), []
+    while True:
         first = lambda box: F.row_number().over(W.partitionBy(*KEY, box).orderBy("cost", "track_id", "det_id")) == 1
-        ranked = left.withColumn("_take", first("track_id") & first("det_id"))
+        ranked = by_frame(left).withColumn("_take", first("track_id") & first("det_id"))
         ranked = ranked.withColumn("_gone", F.max("_take").over(W.partitionBy(*KEY, "track_id")) | F.max("_take").over(W.partitionBy(*KEY, "det_id")))
         ranked = written(ranked)
         taken.append(ranked.filter("_take").select(*left.columns))
         left = ranked.filter("NOT _gone").select(*left.columns)
-    return reduce(DataFrame.unionByName, taken) if taken else left
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, taken)

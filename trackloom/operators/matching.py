@@ -18,18 +18,27 @@ KEY = ["seq_name", "frame_idx"]
 BOX = ("cx", "cy", "cz", "l", "w", "h", "rot_z")
 
 
+def by_frame(rows: DataFrame) -> DataFrame:
+    """rows with those of a frame side by side in one partition; joins, windows and groups inside frames then need no further exchange. Spark uses that
+    for joins on more than the frame once the session's setting that asks for all keys is switched off."""
+    rows.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return rows.repartition(*KEY)
+
+
 def candidates(left: DataFrame, right: DataFrame, radius: float, top_k: int | None = None, z_gate: float | None = None, min_iou: float | None = None) -> DataFrame:
     """Pairs of a frame within `radius` of each other seen from above, with dist2 and, if min_iou is given, iou.
 
     left and right have (seq_name, frame_idx, track_id or det_id, box). Each left box keeps its top_k nearest, ties by
     det_id, and only then the height gate and the least overlap are applied. All gates are inclusive. Boxes are joined on a
-    grid of cells as wide as the radius, so a crowded frame is not all pairs.
+    grid of cells four times as wide as the radius, so a crowded frame is not all pairs.
     """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    # cells four radii wide: what is near a box lies in 2.25 of them on average, in 4 at most; a little more than the radius allows for rounding
+    width, reach = 4 * radius, radius * (1 + 1e-6)
+    cell = lambda c, by=0.0: F.floor((F.col(c) + by) / width).cast("long")
     a = left.select(*KEY, "track_id", *(F.col(c).alias(f"a_{c}") for c in ("cx", "cy", "cz", "l", "w", "h", "rot_z")))
     b = right.select(*KEY, "det_id", *(F.col(c).alias(f"b_{c}") for c in ("cx", "cy", "cz", "l", "w", "h", "rot_z")))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    a = a.withColumn("gx", F.explode(F.transform(near, lambda i: cell("a_cx") + i))).withColumn("gy", F.explode(F.transform(near, lambda i: cell("a_cy") + i)))
+    a, b = by_frame(a), by_frame(b)
+    a = a.withColumn("gx", F.explode(F.sequence(cell("a_cx", -reach), cell("a_cx", reach)))).withColumn("gy", F.explode(F.sequence(cell("a_cy", -reach), cell("a_cy", reach))))
     b = b.withColumn("gx", cell("b_cx")).withColumn("gy", cell("b_cy"))
     dx, dy = F.col("a_cx") - F.col("b_cx"), F.col("a_cy") - F.col("b_cy")
     pairs = a.join(b, [*KEY, "gx", "gy"]).withColumn("dist2", dx * dx + dy * dy).filter(F.col("dist2") <= radius * radius).drop("gx", "gy")
@@ -165,12 +174,12 @@ def assigned_pairs(tracks: np.ndarray, dets: np.ndarray, cost: np.ndarray, metho
     return np.array(sorted(out), int)
 
 
-def assign(edges: DataFrame, method: str = "optimal") -> DataFrame:
-    """edges(seq_name, frame_idx, track_id, det_id, cost) of each frame, one to one.
+def assign(edges: DataFrame, method: str = "optimal", *kept: str) -> DataFrame:
+    """edges(seq_name, frame_idx, track_id, det_id, cost) of each frame, one to one; columns named `kept` stay.
 
     A frame's edges stand side by side in a partition; a task takes many frames at a time, and keeps an unfinished one for its next batch.
     """
-    rows = edges.select(*KEY, "track_id", "det_id", "cost")
+    rows = edges.select(*KEY, "track_id", "det_id", "cost", *kept)
 
     def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
         frame = pdf.groupby(KEY, sort=False).ngroup().to_numpy()
@@ -188,7 +197,7 @@ def assign(edges: DataFrame, method: str = "optimal") -> DataFrame:
         if held is not None:
             yield chosen(held)
 
-    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInPandas(frames, rows.schema)
+    return by_frame(rows).sortWithinPartitions(*KEY).mapInPandas(frames, rows.schema)
 
 
 def edges_of(pairs: DataFrame, weight: float = 10.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
@@ -373,8 +374,10 @@ DEGREES = f"SELECT *, count(*) OVER (PARTITION BY seq_name, frame_idx, track_id)
 def j12_uncontested(gt, det):
     """What the assignment gives to boxes that have one candidate only, which has no other."""
     edges = matching.edges_of(matching.candidates(gt, det, 0.45)).select(*KEYS, "track_id", "det_id", "cost")
-    alone = [edges.groupBy(*KEYS, c).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n") for c in ("track_id", "det_id")]
-    return matching.assign(edges).select(*KEYS, "track_id", "det_id").join(alone[0], [*KEYS, "track_id"], "left_semi").join(alone[1], [*KEYS, "det_id"], "left_semi").select(*KEYS, "track_id", "det_id")
+    edges = matching.by_frame(edges)
+    for c in ("track_id", "det_id"):
+        edges = edges.withColumn(f"of_{c}", F.count(F.lit(1)).over(W.partitionBy(*KEYS, c)))
+    return matching.assign(edges, "optimal", "of_track_id", "of_det_id").filter("of_track_id = 1 and of_det_id = 1").select(*KEYS, "track_id", "det_id")
 
 
 @query("j12_weighed_assignment", None, "gt", "det")
