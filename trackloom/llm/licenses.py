@@ -3,8 +3,8 @@
 Paragraphs are lines, and two neighbouring lines together where a notice is wrapped from one to the next. Their words' unigrams and
 bigrams, as far as a licence notice has them, are the sparse features of a multinomial logistic regression over licence families
 and one unknown class. It is trained on notices alone, on notices inside paragraphs of the corpus, and on paragraphs of the corpus as
-they are. The unknown class is calibrated on paragraphs kept apart: a family must lead it by more than all but one in a thousand of
-them do. A prediction counts once a notice of the family confirms it, by the share of the notice's bigrams that the paragraph
+they are: a half of all its paragraphs, by a hash. The unknown class is calibrated on all of the other half: a family must lead it by
+more than all but one in a thousand of them do. Paragraphs are counted by their features first, so equal sets are one weighted row. A prediction counts once a notice of the family confirms it, by the share of the notice's bigrams that the paragraph
 has, and if no other family's notice fits clearly better. A paragraph may name several licences.
 
 Paragraphs are scored where they are read, by built-in functions with the weights as constants: nothing is shuffled. Notices over
@@ -13,16 +13,20 @@ three lines or more, and wordings far from those below, are not found.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import stored
+from trackloom.llm.common import dropped, stored
 from trackloom.llm.fingerprints import let
 
-#: Bound of the corpus paragraphs that the classifier sees (half for training, half for calibration), chosen by a hash.
-SAMPLE_ROWS = 1200
+#: All paragraphs learned from weigh as much together as so many notices; fewer weigh one each.
+WEIGHT = 600
+#: Margins of calibration are counted in steps of this width.
+STEP = 0.001
 #: Share of calibration paragraphs that may pass for a licence, and share of a notice's bigrams that confirms it.
 PASSING, CONFIRMED = 0.001, 0.8
 #: By so much less than the best one a notice may fit and still count.
@@ -51,12 +55,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def grams(words: Column) -> Column:
-    """Unigrams and bigrams."""
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w))
-    return F.concat(words, pairs)
-
-
 def vocabulary() -> list[str]:
     found = set()
     for notice in (n for many in NOTICES.values() for n in many):
@@ -82,8 +80,15 @@ def confirmed(found: Column, family: str) -> Column:
     return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
 
+def known_grams(words: Column, known: list[str]) -> Column:
+    """The known ones among the words' unigrams and bigrams, each once. Only known words make pairs."""
+    parts = sorted({w for g in known if " " in g for w in g.split()})
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.when(x.isin(parts) & y.isin(parts), F.concat_ws(" ", x, y)))
+    return F.array_distinct(F.filter(F.concat(words, pairs), lambda g: g.isin(known)))
+
+
 def features(text: Column, known: list[str]) -> Column:
-    return F.array_intersect(let(words_of(text), grams), F.lit(known))
+    return let(words_of(text), lambda w: known_grams(w, known))
 
 
 class Classifier:
@@ -103,34 +108,63 @@ def margin(scores: Column) -> Column:
     return F.array_max(F.slice(scores, 1, len(FAMILIES) - 1)) - F.get(scores, F.lit(len(FAMILIES) - 1))
 
 
+def is_notice(found: Column) -> Column:
+    """Whether some family's notice confirms what was found."""
+    least = min(ceil(CONFIRMED * len(bigrams_of(n))) for many in NOTICES.values() for n in many)
+    pairs = F.size(F.filter(found, lambda g: g.contains(" ")))  # with fewer, no notice can
+    return (pairs >= least) & (F.greatest(*(confirmed(found, f) for f in sorted(NOTICES))) >= CONFIRMED)
+
+
+def counted(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(apart, label, found, k): how many paragraphs of all documents that are no notices have the features `found`. Half of them are kept
+    apart; the others count as they are, and once more with a notice after their first words."""
+    known, unknown = vocabulary(), F.lit(len(FAMILIES) - 1)
+    notices = [(FAMILIES.index(f), n) for f in sorted(NOTICES) for n in NOTICES[f]]
+    part = F.pmod(F.xxhash64("text"), F.lit(2 * len(notices))).cast("int")
+    label, notice = F.get(F.lit([i for i, _ in notices]), part), F.get(F.lit([n for _, n in notices]), part)
+    inside = features(F.concat_ws(" ", F.substring_index("text", " ", 12), notice), known)
+
+    def row(apart: bool, label: Column, found: Column) -> Column:
+        return F.struct(F.lit(apart).alias("apart"), label.cast("int").alias("label"), F.array_sort(found).alias("found"))
+
+    def rows(found: Column) -> Column:
+        usual = F.when(part < len(notices), F.array(row(False, unknown, found), row(False, label, inside))).otherwise(F.array(row(True, unknown, found)))
+        return F.when(~is_notice(found), usual)
+
+    lines = paragraphs(documents, id_col, text_col)
+    return lines.select(F.explode(let(features(F.col("text"), known), rows)).alias("x")).groupBy("x.apart", "x.label", "x.found").agg(F.count(F.lit(1)).alias("k"))
+
+
+def passing(margins: DataFrame) -> float:
+    """The least margin of margins(m, k) that at most PASSING of the k rows exceed, or one less than STEP above it."""
+    steps = margins.groupBy(F.floor(F.col("m") / STEP).alias("step")).agg(F.max("m").alias("m"), F.sum("k").alias("k")).orderBy(F.desc("step")).collect()  # as many as margins have steps
+    above, most = 0, PASSING * sum(r["k"] for r in steps)
+    for r in steps:
+        above += r["k"]
+        if above > most:
+            return r["m"]
+    return 0.0
+
+
 def trained(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     spark, known = documents.sparkSession, vocabulary()
-    # whole documents are chosen first, by hashes alone: no text travels to be left out
-    texts, order = documents.select(id_col, text_col).filter(F.length(text_col) > 0), F.xxhash64(id_col, text_col)
-    last = texts.select(order.alias("x")).orderBy("x").limit(SAMPLE_ROWS).agg(F.max("x")).first()[0]
-    some = texts.filter(order <= F.lit(last)).limit(SAMPLE_ROWS)
-    sample = paragraphs(some, id_col, text_col).orderBy(F.xxhash64("text", "doc_id", "paragraph")).limit(SAMPLE_ROWS)
+    counts = stored(counted(documents, id_col, text_col))
+    unknown = len(FAMILIES) - 1
+    learned = counts.filter("not apart").agg(F.sum(F.when(F.col("label") == unknown, F.col("k")))).first()[0] or 0
+    weight = F.col("k") * F.lit(min(1.0, WEIGHT / max(learned, 1)))
+    corpus = counts.filter("not apart").select("label", "found", weight.cast("double").alias("weight"))
     notices = [(FAMILIES.index(f), n) for f in sorted(NOTICES) for n in NOTICES[f]]
-    bigrams = features(F.col("text"), known)
-    none = F.greatest(*(confirmed(F.col("found"), f) for f in sorted(NOTICES))) < CONFIRMED
-    sample = stored(sample.withColumn("found", bigrams).filter(none).select("text", F.pmod(F.xxhash64("text"), F.lit(2 * len(notices))).alias("part")))
-    fit, apart = sample.filter(F.col("part") < len(notices)), sample.filter(F.col("part") >= len(notices))
-    table = spark.createDataFrame([(i, label, n) for i, (label, n) in enumerate(notices)], "part long, label int, notice string")
-    few = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
-    inside = fit.join(F.broadcast(table), "part").select("label", F.concat_ws(" ", few, "notice").alias("text"))
-    unknown = fit.select(F.lit(len(FAMILIES) - 1).alias("label"), "text")
-    rows = table.select("label", F.col("notice").alias("text")).unionByName(inside).unionByName(unknown)
     # parts of notices are no notices
-    halves = table.select(F.lit(len(FAMILIES) - 1).alias("label"), F.explode(F.split("notice", " ")).alias("text"))
-    rows = rows.unionByName(halves).withColumn("found", features(F.col("text"), known)).coalesce(1)
-    vectors = CountVectorizerModel.from_vocabulary(known, "found", "features").transform(rows)
-    model = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", regParam=0.003, maxIter=40, standardization=False).fit(vectors.select("features", F.col("label").cast("double").alias("label")))
+    fixed = notices + [(unknown, w) for _, n in notices for w in n.split()]
+    fixed = spark.createDataFrame(fixed, "label int, text string").coalesce(1).select("label", features(F.col("text"), known).alias("found"), F.lit(1.0).alias("weight"))
+    vectors = CountVectorizerModel.from_vocabulary(known, "found", "features").transform(fixed.unionByName(corpus))
+    model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial", regParam=0.003, maxIter=40, standardization=False).fit(vectors.select("features", "weight", F.col("label").cast("double").alias("label")))
     by_family = model.coefficientMatrix.toArray()
     intercepts = model.interceptVector.toArray()
     classifier = Classifier(known, by_family.T.tolist(), intercepts.tolist(), 0.0)
-    held = apart.select(let(features(F.col("text"), known), lambda g: margin(classifier.scores(g))).alias("m"))
-    lead = held.select(F.percentile("m", F.lit(1 - PASSING))).first()[0]
-    classifier.lead = max(0.0, lead or 0.0)
+    held = counts.filter("apart").select(let(classifier.scores(F.col("found")), margin).alias("m"), "k")
+    classifier.lead = max(0.0, passing(held))
+    dropped(counts)
     return classifier
 
 
@@ -143,11 +177,11 @@ def scanned(documents: DataFrame, classifier: Classifier, id_col: str = "doc_id"
     all others. Rows that repeat an id are scanned each; a null id is an id like any other. Further columns are ignored,
     whatever their names.
     """
-    families, known = FAMILIES[:-1], F.lit(classifier.known)
+    families, known = FAMILIES[:-1], classifier.known
     kind = "array<struct<family: string, score: double, confirmed: double>>"
 
     def described(line: Column) -> Column:
-        return let(words_of(line), lambda w: F.struct(F.array_intersect(grams(w), known).alias("found"), F.get(w, F.lit(0)).alias("first"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), w), -1).alias("last")))
+        return let(words_of(line), lambda w: F.struct(known_grams(w, known).alias("found"), F.get(w, F.lit(0)).alias("first"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), w), -1).alias("last")))
 
     def judged(found: Column) -> Column:
         def leading(scores: Column) -> Column:
@@ -166,7 +200,7 @@ def scanned(documents: DataFrame, classifier: Classifier, id_col: str = "doc_id"
 
     def over_two(x: Column, y: Column) -> Column:
         """What two lines say together; nothing if one of them has no part in it."""
-        between = F.array_intersect(F.array(F.concat_ws(" ", x["last"], y["first"])), known)
+        between = F.array_intersect(F.array(F.concat_ws(" ", x["last"], y["first"])), F.lit(known))
         return F.when((F.size(x["found"]) > 0) & (F.size(y["found"]) > 0), judged(F.array_union(F.array_union(x["found"], y["found"]), between))).otherwise(F.array().cast(kind))
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n").alias("lines"))
