@@ -291,8 +291,8 @@ FROM (SELECT f.seq_name, t.id AS track_id, f.frame_idx, CASE WHEN d.score IS NOT
 @query("w6_evidence", f"SELECT seq_name, track_id, s.h AS hits, round(s.e, 6) AS evidence, s.ok AS confirmed FROM ({EVIDENCE})", "det", "frames")
 def w6(det, frames):
     """Detections that keep their number are a track; it decays in frames without it."""
-    rows = tracks.with_misses(det.withColumn("track_id", C("det_id")).withColumn("x", G.evidence(C("score"), 0.4, 1.5)), frames, "x")
-    return tracks.evidence_of(rows, "x", 0.3, 0.1, 0.5, 3).withColumn("evidence", F.round("evidence", 6))
+    rows = det.select(*KEYS, C("det_id").alias("track_id"), G.evidence(C("score"), 0.4, 1.5).alias("x"))
+    return tracks.evidence_of(tracks.with_missed(rows, frames), "x", 0.3, 0.1, 0.5, 3).withColumn("evidence", F.round("evidence", 6))
 
 
 @query("w9_fresh_ids", "SELECT seq_name, frame_idx, det_id, CAST(row_number() OVER (PARTITION BY seq_name ORDER BY frame_idx, det_id) AS int) AS new_id FROM det", "det")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.operators.scans import affine_scan, running_count
+from trackloom.operators.scans import affine_scan
 
 
 def by_track():
@@ -54,21 +54,27 @@ def smoothed_speed(rows: DataFrame, alpha: float, fps: float) -> DataFrame:
     return states.groupBy("seq_name", "track_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max_by("state", "frame_idx").alias("speed"))
 
 
-def with_misses(rows: DataFrame, frames: DataFrame, value: str) -> DataFrame:
-    """(seq_name, frame_idx, track_id, value) of each track in every frame of its sequence from its first one on; null where it is missed."""
-    first = rows.groupBy("seq_name", "track_id").agg(F.min("frame_idx").alias("first"))
-    every = frames.select("seq_name", "frame_idx").join(first, "seq_name").filter("frame_idx >= first").drop("first")
-    return every.join(rows.select("seq_name", "frame_idx", "track_id", value), ["seq_name", "frame_idx", "track_id"], "left")
+def with_missed(rows: DataFrame, frames: DataFrame) -> DataFrame:
+    """rows with the frames of their sequence in which the track was missed, as numbers: `missed` since its row before, `after` between the row and the sequence's
+    last frame. Frames without the track are no rows. Rows whose frame isn't in frames(seq_name, frame_idx), which names each frame once, go."""
+    whole = W.partitionBy("seq_name")
+    places = frames.select("seq_name", "frame_idx", F.row_number().over(whole.orderBy("frame_idx")).alias("place"), F.count(F.lit(1)).over(whole).alias("of"))
+    rows = rows.join(places, ["seq_name", "frame_idx"])
+    missed = F.coalesce(F.col("place") - F.lag("place").over(by_track()) - 1, F.lit(0))
+    return rows.withColumn("missed", missed).withColumn("after", F.col("of") - F.col("place")).drop("place", "of")
 
 
 def evidence_of(rows: DataFrame, score: str, rise: float, decay: float, confirm: float, least_hits: int) -> DataFrame:
     """Evidence by track: a hit takes it towards its score, a miss (null) towards 0; hits, and whether it was ever confirmed: with so
-    many hits and so much evidence at once. Both run along the track in blocks of frames."""
+    many hits and so much evidence at once. Evidence runs along the track in blocks of frames. Where rows have with_missed()'s columns, those misses count, too."""
     hit = F.col(score).isNotNull()
-    states = affine_scan(rows, F.when(hit, 1 - rise).otherwise(1 - decay), F.when(hit, rise * F.col(score)).otherwise(0.0), into="evidence")
-    states = running_count(states, hit, "hits")
+    gaps = "missed" in rows.columns
+    lost = lambda n: F.pow(F.lit(1 - decay), F.col(n)) if gaps else F.lit(1.0)
+    rows = rows.withColumn("hits", F.sum(hit.cast("int")).over(by_track().rowsBetween(W.unboundedPreceding, 0)))
+    states = affine_scan(rows, lost("missed") * F.when(hit, 1 - rise).otherwise(1 - decay), F.when(hit, rise * F.col(score)).otherwise(0.0), into="evidence")
     ok = F.max(hit & (F.col("hits") >= least_hits) & (F.col("evidence") >= confirm))
-    return states.groupBy("seq_name", "track_id").agg(F.max("hits").cast("int").alias("hits"), F.max_by("evidence", "frame_idx").alias("evidence"), ok.alias("confirmed"))
+    last = F.max_by(F.col("evidence") * lost("after"), "frame_idx")
+    return states.groupBy("seq_name", "track_id").agg(F.max("hits").cast("int").alias("hits"), last.alias("evidence"), ok.alias("confirmed"))
 
 
 def fresh_ids(boxes: DataFrame) -> DataFrame:
