@@ -8,8 +8,10 @@ within their length. The histogram (at most `capacity` rows) is all that the dri
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import stored
 
-#: Distinct words that a Python worker keeps with their ids; then it starts anew.
+#: Distinct words that a Python worker keeps with their ids, about 150 bytes each; then it forgets the later half, as frequent words come early.
 KNOWN_WORDS = 1_000_000
 #: Parts in which the ranks of a length are counted, so that a frequent length is no single task's work.
 RANK_PARTS = 256
@@ -34,11 +36,12 @@ class WordIds(dict):
     #: Special tokens hold it, which are found as they are written, before lower case. Words with it go alone, too.
     SPECIAL = b"<|"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
-        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.path, self.most, self.tokenizer = path, most or KNOWN_WORDS, Tokenizer.from_file(path)
         (self.between,) = self.encoded([self.BETWEEN])[0]
         self.marks = {m: np.array(self.encoded([bytes([m])])[0], "<u4").tobytes() for m in b",."}
 
@@ -63,9 +66,10 @@ class WordIds(dict):
         for word, stem in stems.items():
             if word is not stem:
                 found[word] = found[stem] + self.marks[word[-1]]
-        if len(self) + len(found) > KNOWN_WORDS:
-            self.clear()
-        if len(found) <= KNOWN_WORDS:
+        if len(self) + len(found) > self.most:
+            for word in list(islice(self, self.most // 2, None)):
+                del self[word]
+        if len(self) + len(found) <= self.most:
             self.update(found)
         return found
 
@@ -85,11 +89,11 @@ class WordIds(dict):
 _known: WordIds | None = None
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int | None = None) -> WordIds:
     """One table for each worker process, which serves all its tasks."""
     global _known
-    if _known is None or _known.path != path:
-        _known = WordIds(path)
+    if _known is None or (_known.path, _known.most) != (path, most or KNOWN_WORDS):
+        _known = WordIds(path, most)
     return _known
 
 
@@ -184,15 +188,16 @@ def packed(pieces: DataFrame, capacity: int = 2048, parts: int = RANK_PARTS) ->
     return rows.select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", known_words: int | None = None) -> DataFrame:
     """documents as pieces (doc_id, piece, start, length, ids_crc32) with their place (sequence_id, offset).
 
     A document's ids are those of the tokenizer's file and then end_id; only documents longer than `capacity` are
     cut. A null text is empty and thus one end id. Null ids and rows that repeat an id are packed like all others.
     A very long text is encoded in one task and cut into many pieces. An empty table gives an empty result. Further columns are ignored, whatever their names.
+    A worker keeps the ids of `known_words` words (KNOWN_WORDS by default), which decides its memory and speed, not the result.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return packed(pieces_of(docs, lambda text: word_ids(tokenizer).ids(text), capacity, end_id), capacity)
+    return packed(pieces_of(docs, lambda text: word_ids(tokenizer, known_words).ids(text), capacity, end_id), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ ROWS, BANDS = 5, 30
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Pairs whose estimate is below the threshold by more than this go without confirmation: seven standard errors at least.
 MARGIN = 0.3
+#: Bytes of text made into numpy arrays at once. A worker keeps what it once took, and the next stage's tasks run in the same workers.
+AT_ONCE = 250_000
 
 _FACTORS = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -80,7 +82,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             n, digests, out = [], [], []
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, AT_ONCE):
                 for shingles in shingle_sets(data, offsets[a : b + 1], k):
                     n.append(len(shingles))
                     digests.append([int(x) for x in (np.sum(mixed(shingles)), np.sum(mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))))] if len(shingles) else [0, 0])
@@ -101,7 +103,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, AT_ONCE):
                 found = [x.view(np.int64) for x in shingle_sets(data, offsets[a : b + 1], k)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["id", "shingles"])
