@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.operators.quantiles import at_ranks, quantiles, with_quantiles
+from trackloom.plans.storage import written
 
 
 def run_stats(frames: DataFrame) -> DataFrame:
@@ -83,10 +84,10 @@ def quantile_calibrator(scores: DataFrame, bins: int = 10, laplace: float = 1.0)
 
 
 def score_sample(scores: DataFrame, *kinds: str, most: int = 2000) -> dict[str, list[float]]:
-    """At most so many scores of each kind, chosen by a hash of their values and numbers, for drawing from."""
-    out = {}
+    """At most so many scores of each kind, chosen by a hash of their values and numbers, for drawing from. scores are read once, for all kinds."""
+    out, every = {}, written(scores.filter(F.col("kind").isin(*kinds)).groupBy("kind", "score").agg(F.count(F.lit(1)).alias("k")))
     for kind in kinds:
-        counts = scores.filter(F.col("kind") == kind).groupBy("score").agg(F.count(F.lit(1)).alias("k"))
+        counts = every.filter(F.col("kind") == kind).select("score", "k")
         total = counts.agg(F.sum("k")).first()[0] or 0
         share = max(1.0, total / most)
         rows = counts.select("score", F.ceil(F.col("k") / share).cast("int").alias("k")).orderBy(F.xxhash64("score")).limit(most).collect()
