@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.operators.batches import starts
 from trackloom.operators.matching import KEY, assign, by_frame
 from trackloom.plans.storage import written
 
-#: Half rounds of label propagation between two tests of convergence.
-HALVES = 12
 #: Partial matchings of a component that are compared each with each; components that may have more go to the solver.
 MATCHINGS = 256
 
@@ -22,27 +25,59 @@ _EDGE = "struct<track_id: {t}, det_id: {d}, cost: double>"
 def components(edges: DataFrame) -> DataFrame:
     """edges(seq_name, frame_idx, track_id, det_id, ...) with `component`: the smallest track_id that an edge reaches over others of its frame.
 
-    Labels go from tracks to detections and back, the least one around each; after each HALVES half rounds the labels also jump to the label of
-    the track that they name, so a chain of n boxes takes about log n rounds. It ends when the last two half rounds of a round change no label. Each half round is a window
-    over the edges of one box in a partition that has whole frames, so edges travel once a round, and neither a component nor a frame is held. Edges of a null sequence, frame or box
+    Edges travel once, sorted by frame; a task labels the whole frames of a batch at once and keeps an unfinished one for its next batch. Edges of a null sequence, frame or box
     are of no graph, and go; edges given twice stay twice. No edges, no rows.
     """
     own = edges.dropna(subset=[*KEY, "track_id", "det_id"])
-    now = own.withColumn("component", F.col("track_id"))
+    rows = by_frame(own.withColumn("component", F.col("track_id"))).sortWithinPartitions(*KEY)
+
+    def labelled(table: pa.Table) -> pa.Table:
+        ids = table.select([*KEY, "track_id", "det_id"]).to_pandas()
+        tracks, ids["track_id"] = ids["track_id"].to_numpy(), pd.factorize(ids["track_id"], sort=True)[0]
+        ids["det_id"] = pd.factorize(ids["det_id"])[0]
+        at = least_reached(np.repeat(np.arange(len(f := starts(ids, KEY))), np.diff(f, append=len(ids))), ids["track_id"].to_numpy(), ids["det_id"].to_numpy())
+        kind = table.schema.field("component")
+        return table.set_column(table.schema.get_field_index("component"), kind, pa.array(tracks[at], kind.type))
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([*held, batch])
+                last = int(starts(table.select(KEY).to_pandas(), KEY)[-1])
+                if last:
+                    yield from labelled(table.slice(0, last)).to_batches()
+                held = table.slice(last).to_batches()
+        if held:
+            yield from labelled(pa.Table.from_batches(held)).to_batches()
+
+    return written(rows.mapInArrow(frames, rows.schema))
+
+
+def least_reached(frames: np.ndarray, tracks: np.ndarray, dets: np.ndarray) -> np.ndarray:
+    """Of each edge an edge with the smallest track that it reaches over others of its frame.
+
+    Labels go from tracks to detections and back, the least one around each, and then jump to the label of the track that they name, so a chain of n boxes takes about log n rounds.
+    """
+
+    def boxes(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Boxes in order of frame and number: the order of edges, where each box's begin there, and each edge's box."""
+        order = np.lexsort((numbers, frames))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(frames[order]) != 0) | (np.diff(numbers[order]) != 0)
+        box = np.empty(len(order), int)
+        box[order] = np.cumsum(new) - 1
+        return order, np.flatnonzero(new), box
+
+    (by_track, first_of_track, track), (by_det, first_of_det, det) = boxes(tracks), boxes(dets)
+    label = np.arange(len(first_of_track))
     while True:
-        after = by_frame(now)
-        for half in range(HALVES):
-            if half == HALVES - 2:
-                after = after.withColumn("before", F.col("component"))
-            box = ("det_id", "track_id")[half % 2]
-            after = after.withColumn("component", F.min("component").over(W.partitionBy(*KEY, box)))
-        after = written(after)
-        if after.filter("component <> before").isEmpty():
-            return after.select(*own.columns, "component")
-        frames = by_frame(after)
-        heads = frames.groupBy(*KEY, F.col("track_id").alias("component")).agg(F.min("component").alias("head"))
-        now = frames.join(heads, [*KEY, "component"])  # each label is a track's own number
-        now = now.select(*own.columns, F.col("head").alias("component"))
+        around = np.minimum.reduceat(label[track[by_det]], first_of_det)
+        after = np.minimum.reduceat(around[det[by_track]], first_of_track)
+        after = after[after]
+        if (after == label).all():
+            return by_track[first_of_track][label][track]
+        label = after
 
 
 def stars(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
